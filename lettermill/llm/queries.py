@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe
+from lettermill.llm import bpe, html, pii, quality, secrets
 from lettermill.llm.common import table
 
 
+def _joined(*spans: str) -> Column:
+    """kind:start:end of the spans of the columns, comma-joined, by start, then kind as the columns' operator lists them."""
+    return F.array_join(F.transform(spans[0] if len(spans) == 1 else F.concat(*spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _ordered(kinds: tuple[str, ...]) -> Column:
+    """Base and added spans together, by start, then kind as listed."""
+    ranks = F.array(*map(F.lit, kinds))
+    keyed = F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), F.array_position(ranks, s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return F.array_join(F.transform(F.array_sort(keyed), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _n(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document; digests of the ids and of the decoded text."""
     done = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -23,6 +39,35 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document; counts and digest of the base spans, and all spans."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *map(_n, pii.KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _ordered(pii.KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; counts and digest of the base spans, and all spans."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return found.select(F.col("id").alias("doc_id"), *map(_n, secrets.KINDS[:3]), F.sha2(_joined("base"), 256).alias("base_sha256"), _ordered(secrets.KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document, with cutoffs learned on the labels."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op3_pii": op3_pii,
+    "op7_html": op7_html,
+    "op8_secrets": op8_secrets,
+    "op10_quality": op10_quality,
+}
 
 SQL: dict[str, str] = {}
