@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, html, pii, quality, secrets
+from lettermill.llm import bpe, html, pii, quality, secrets, simhash
 from lettermill.llm.common import table
 
 
@@ -39,6 +39,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, radius=2)
+    return near.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document; counts and digest of the base spans, and all spans."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
@@ -64,6 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
     "op7_html": op7_html,
     "op8_secrets": op8_secrets,
