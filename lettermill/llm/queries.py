@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm import bpe, html, pii, quality, secrets, simhash
+import corpus_pipeline
+from lettermill.llm import bpe, html, packing, pii, quality, secrets, simhash
 from lettermill.llm.common import table
 
 
@@ -51,6 +52,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(_n, pii.KINDS), F.sha2(_joined("base"), 256).alias("base_sha256"), _ordered(pii.KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence and place of every part of every document, with lengths in words."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs.select("doc_id", packing.word_count("text").alias("size")), id_col="doc_id").withColumnRenamed("id", "doc_id")
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -72,9 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
+    "op4_packing": op4_packing,
     "op7_html": op7_html,
     "op8_secrets": op8_secrets,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -61,6 +61,9 @@ def test_judge_keeps_good_and_rejects_junk(spark):
     assert len(got) == 1600 + 4
     assert [r["kept"] for k, r in got.items() if k is not None and k < 9000] == [k % 4 != 0 for k in got if k is not None and k < 9000]
     assert not got[9001]["kept"] and not got[9002]["kept"] and got[9003]["base_failed"] and got[None]["kept"]
+    left = quality.keep_good(df, marks)
+    assert left.columns == df.columns
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(k) for k, r in got.items() if r["kept"])
     nothing = quality.judge(df, marks.limit(0)).where("base_failed = kept").count()
     assert nothing == 0
     assert quality.judge(df.limit(0), marks).count() == 0
