@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lettermill.llm import bpe, html, packing, pii, quality, secrets, simhash
+from lettermill.llm import bpe, html, packing, pii, quality, secrets, simhash, topk
 from lettermill.llm.common import table
 
 
@@ -58,6 +58,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", packing.word_count("text").alias("size")), id_col="doc_id").withColumnRenamed("id", "doc_id")
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where("id % 20 = 0"), k=20)
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -80,10 +86,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
+    "op5_topk": op5_topk,
     "op7_html": op7_html,
     "op8_secrets": op8_secrets,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+SQL: dict[str, str] = {
+    "op5_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
+if corpus_pipeline.ORACLE_SQL is not None:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
