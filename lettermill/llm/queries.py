@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lettermill.llm import bpe, html, packing, pii, quality, secrets, simhash, topk
-from lettermill.llm.common import table
+from lettermill.llm import bpe, brown, html, packing, pii, quality, secrets, shards, simhash, topk
+from lettermill.llm.common import shared_dir, table
 
 
 def _joined(*spans: str) -> Column:
@@ -64,6 +65,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("id % 20 = 0"), k=20)
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and class-model scores of every document."""
+    return brown.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract_main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
@@ -75,6 +81,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *map(_n, secrets.KINDS[:3]), F.sha2(_joined("base"), 256).alias("base_sha256"), _ordered(secrets.KINDS).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the tokens of every document lie in the shards, which this writes below the shared folder."""
+    folder = f"{shared_dir(spark).rstrip('/')}/sequences-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    rows = shards.write_in_order(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, key="training order 1")
+    return rows.withColumnRenamed("id", "doc_id")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document, with cutoffs learned on the labels."""
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -87,8 +101,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": op3_pii,
     "op4_packing": op4_packing,
     "op5_topk": op5_topk,
+    "op6_brown": op6_brown,
     "op7_html": op7_html,
     "op8_secrets": op8_secrets,
+    "op9_shards": op9_shards,
     "op10_quality": op10_quality,
     "pipeline": corpus_pipeline.run,
 }
