@@ -251,7 +251,7 @@ def email_parts(spark, sf_dir):
     return found.select("doc_id", "email", C.email_local(F.col("email")).alias("local"), F.array_join(C.email_tokens(F.col("email")), " ").alias("tokens"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, line_no FROM lines WHERE regexp_matches(lower(line), '(^|[^a-z0-9_à-ÿ])(test[0-9]*|demo|sample|dummy|example)($|[^a-z0-9_à-ÿ])')")
+@query(f"WITH {LINES} SELECT doc_id, line_no FROM lines WHERE regexp_matches(lower(line), '(^|[^a-z0-9_ßà-ÿ])(test[0-9]*|demo|sample|dummy|example)($|[^a-z0-9_ßà-ÿ])')")
 def placeholder_flag(spark, sf_dir):
     return text_lines(spark, sf_dir).where(C.is_placeholder(F.col("line"))).select("doc_id", "line_no")
 
