@@ -186,9 +186,9 @@ def has_business_hint(line: Column) -> Column:
 
 
 def header_key(line: Column) -> Column:
-    """The header key that a line begins with, lower case, or the empty string."""
-    bare = F.regexp_replace(F.lower(strip(line)), r"^plain\s+", "")
-    return F.regexp_extract(bare, "^(" + "|".join(sorted(V.HEADER_KEYS, key=len, reverse=True)) + r")\s*:", 1)
+    """The header key that a line begins with, or is, lower case, or the empty string."""
+    bare = F.regexp_replace(preamble_key(line), r"^plain\s+", "")
+    return F.regexp_extract(bare, "^(" + "|".join(sorted(V.HEADER_KEYS, key=len, reverse=True)) + r")\s*(?::|$)", 1)
 
 
 def is_header_line(line: Column) -> Column:
@@ -253,7 +253,7 @@ def strip_fences(c: Column) -> Column:
 def allowed_flag(c: Column) -> Column:
     """true or false of the ways in which a classifier says so; null of anything else."""
     word = F.lower(strip(c.cast("string")))
-    return F.when(word.isin("true", "1", "yes", "ja"), F.lit(True)).when(word.isin("false", "0", "no", "nein"), F.lit(False))
+    return F.when(word.isin("true", "1", "yes"), F.lit(True)).when(word.isin("false", "0", "no"), F.lit(False))
 
 
 def safe_file_name(c: Column) -> Column:

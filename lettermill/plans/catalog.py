@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import columns as C
 from lettermill.functions import vocab as V
-from lettermill.operators import contacts, filing, ingest, lines, queue
+from lettermill.operators import contacts, filing, ingest, lines, messages as texts, queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -295,7 +295,7 @@ def nearest_above(spark, sf_dir):
 AS_HEADERS = "CASE line_no % 5 WHEN 0 THEN 'From: ' || line WHEN 1 THEN 'To: ' || line WHEN 3 THEN 'Subject: ' || line ELSE line END"
 
 
-@query(f"""WITH {LINES}, h AS (SELECT doc_id, line_no, CASE line_no % 5 WHEN 0 THEN 'from' WHEN 1 THEN 'to' WHEN 3 THEN 'subject' ELSE '' END AS key FROM lines),
+@query(f"""WITH {LINES}, h AS (SELECT doc_id, line_no, CASE line_no % 5 WHEN 0 THEN 'from' WHEN 1 THEN 'to' WHEN 3 THEN 'subject' ELSE regexp_extract(lower(line), '^[ ,.;:!?]*(von|from|antwort an|an|to|cc|bcc|kopie|copy|reply-to|reply to|betreff|subject|gesendet|sent|datum|date)[ ,.;:!?]*$', 1) END AS key FROM lines),
     n AS (SELECT a.doc_id, a.line_no, count(*)::INT AS n_headers, count(DISTINCT b.key)::INT AS n_keys, bool_or(b.key IN ('von', 'from')) AS s FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.line_no BETWEEN a.line_no AND a.line_no + 7 AND b.key <> '' WHERE a.key <> '' GROUP BY a.doc_id, a.line_no)
     SELECT doc_id, line_no, n_headers, n_keys FROM n WHERE n_headers >= 2 AND n_keys >= 2 AND s""")
 def header_cluster(spark, sf_dir):
@@ -443,3 +443,86 @@ def store_status(spark, sf_dir):
     folder = F.when(key % 5 > 0, F.concat(F.lit("/share/"), F.col("o_orderpriority")))
     name = F.when(key % 3 > 0, F.concat(F.lit(" n"), key.cast("string"))).otherwise(F.lit("../x"))
     return table(spark, sf_dir, "orders").select("o_orderkey", filing.store_status(key % 11 > 0, key % 7 > 0, folder, name, F.col("o_orderstatus") != "P").alias("status"), filing.destination(folder, name).alias("destination"))
+
+
+@query()
+def html_text(spark, sf_dir):
+    return texts.html_text(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+def letters(spark, sf_dir):
+    """The turns of conversations as threads: each later message quotes the ones before under a reply line, and ends in a signature."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    body = F.array_join(
+        F.transform("t", lambda x, i: F.concat(F.when(i > 0, F.lit("On Monday someone wrote:\n")).otherwise(F.lit("Hallo zusamen,\n")), x["text"], F.lit("\nBest regards\nAnn Miller\nTelefon: +49 30 "), (100000 + F.col("conv_id") * 13 + i).cast("string"), F.lit("\nE-Mail: ann.miller@north.invalid"))),
+        "\n",
+    )
+    return turns.select("conv_id", body.alias("body"))
+
+
+@query()
+def thread_parts(spark, sf_dir):
+    return texts.thread_parts(letters(spark, sf_dir), "conv_id", "body")
+
+
+@query()
+def segments(spark, sf_dir):
+    return texts.segments(letters(spark, sf_dir), "conv_id", "body")
+
+
+@query()
+def fuzzy_greeting(spark, sf_dir):
+    return texts.greeting_lines(lines.numbered(letters(spark, sf_dir), "conv_id", "body"), "conv_id")
+
+
+@query()
+def signature_contacts(spark, sf_dir):
+    return texts.signature_contacts(letters(spark, sf_dir), "conv_id", "body").select("conv_id", "contact_no", "contact.full_name", "contact.phone", "contact.email", "contact.source_text")
+
+
+def contact_lists(spark, sf_dir):
+    """Customers of a nation as a list of contacts in a message."""
+    line = F.concat(F.lit("Org "), F.col("c_mktsegment"), F.lit(" - Ann Miller; +49 30 "), (1000000 + F.col("c_custkey")).cast("string"), F.lit("; ann"), F.col("c_custkey").cast("string"), F.lit("@north.invalid\nMobil: +49 171 "), (2000000 + F.col("c_custkey")).cast("string"))
+    held = F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line"))))
+    return table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").groupBy((F.col("c_custkey") % 997).alias("list_id")).agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("body"))
+
+
+@query()
+def structured_contacts(spark, sf_dir):
+    found = texts.structured_contacts(contact_lists(spark, sf_dir), "list_id", "body")
+    return found.select("list_id", "contact_no", "contact.full_name", "contact.company", "contact.phone", "contact.email", F.size("contact.phone_numbers").alias("n_phones"))
+
+
+@query()
+def normalize_contacts(spark, sf_dir):
+    decided = texts.decide(letters(spark, sf_dir), "conv_id", "body")
+    return decided.select("conv_id", "disposition", F.explode_outer("contacts").alias("c")).select("conv_id", "disposition", "c.full_name", "c.phone", "c.email")
+
+
+@query()
+def fold_dedupe(spark, sf_dir):
+    found = texts.structured_contacts(contact_lists(spark, sf_dir), "list_id", "body").unionByName(texts.signature_contacts(contact_lists(spark, sf_dir), "list_id", "body").withColumn("contact_no", F.col("contact_no") + 1_000_000))
+    arrays = found.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("contact_no", "contact"))).alias("a")).select("list_id", F.transform("a", lambda x: x["contact"]).alias("contacts"))
+    return texts.merged(arrays, "list_id").select("list_id", F.posexplode("contacts").alias("contact_no", "c")).select("list_id", "contact_no", "c.full_name", "c.phone", "c.email", F.size("c.phone_numbers").alias("n_phones"))
+
+
+def responses(spark, sf_dir):
+    """Events' properties as a classifier might answer: fenced, in Python's words, with a trailing comma, within prose, or not at all."""
+    k = F.col("event_id") % 5
+    body = F.regexp_replace("props", "\\}$", ', "is_allowed": true}')
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.replace(body, F.lit("true"), F.lit("True"))).when(k == 2, F.regexp_replace(body, "\\}$", ",}")).when(k == 3, F.concat(F.lit("Here it is: "), body, F.lit(" as asked."))).otherwise(F.lit("no object"))
+    return table(spark, sf_dir, "events").select("event_id", raw.alias("raw"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 < 4 THEN TRUE END AS allowed, CASE WHEN event_id % 5 < 4 THEN json_extract_string(props, '$.' || json_keys(props)[1]) END AS first_value FROM events""")
+def lenient_json(spark, sf_dir):
+    loaded = texts.parsed(responses(spark, sf_dir), "event_id", "raw")
+    return loaded.select("event_id", "allowed", F.expr("get_json_object(answer, concat('$.', get(json_object_keys(answer), 0)))").alias("first_value"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'Offer ' || event_id WHEN 2 THEN repeat('x', 60) ELSE 'short' END AS file_name FROM events""")
+def target_file_name(spark, sf_dir):
+    k = F.col("event_id") % 4
+    name = F.when(k == 1, F.concat(F.lit("Offer "), F.col("event_id").cast("string"))).otherwise(F.repeat(F.lit("x"), 70))
+    raw = F.when(k == 0, F.lit("none")).otherwise(F.concat(F.lit('ok {"target_file_name": "'), name, F.lit('"} done')))
+    return table(spark, sf_dir, "events").select("event_id", filing.file_name(raw, F.when(k == 3, F.lit("short"))).alias("file_name"))
