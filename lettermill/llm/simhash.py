@@ -240,8 +240,9 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius
     At that similarity fingerprints differ by 10 bits or so, too many for the pigeonhole rule, so here shards come from
     `bands` least-hash keys of the shingles: two texts at 0.8 meet in a shard with a chance of 0.998, and differ by at most
     `radius` bits with one over 0.99. Each shard's BK-tree finds the pairs within the radius, and the shingle sets decide
-    them exactly. Equal texts are one text from the start. A shard of more than `tree` texts is dealt into trees at random, another
-    way for each band, so that a large group still holds together across its bands' trees. Null ids take no part; rows with
+    them exactly. Equal texts are one text from the start. A shard of more than `tree` texts is dealt into several trees at
+    random; afterwards the texts outside of the shard's largest group visit its other trees, so that no pair of a shard goes unseen
+    unless its group has it already. Null ids take no part; rows with
     the same id count as one document; texts without words are equal.
     """
     light_schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
@@ -271,10 +272,25 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius
     texts = light.join(firsts.select(F.col("first").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     placed = settle(texts.select("id", "fp", F.posexplode("keys").alias("band", "key")))
     shared = settle(placed.groupBy("band", "key").count().where("count > 1"))
-    met = settle(placed.join(shared, ["band", "key"]).select("id", "fp", "band", "key", F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("count") / tree)).alias("tile")))
-    grams = source.join(met.select("id").distinct(), "id", "left_semi").mapInArrow(weigh, "id long, grams binary")
-    members = met.join(grams, "id").select(F.col("band").cast("long").alias("band"), "key", "tile", "id", "fp", "grams")
-    return components(settle(copies.union(links_by_shard(members, ["band", "key", "tile"], radius, same))))
+    met = settle(placed.join(shared, ["band", "key"]).select("id", "fp", F.col("band").cast("long").alias("band"), "key", F.ceil(F.col("count") / tree).alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("id", "band"), F.col("tiles"))))
+
+    def links_of(members: DataFrame) -> DataFrame:
+        grams = source.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(weigh, "id long, grams binary")
+        return settle(links_by_shard(members.select("band", "key", "tile", "id", "fp").join(grams, "id"), ["band", "key", "tile"], radius, same))
+
+    links = settle(copies.union(links_of(met)))
+    roots = components(links)
+    many = met.where("tiles > 1")
+    if many.limit(1).count() == 0:
+        return roots
+    # What two trees of one shard may still have apart: at least one of such a pair is outside of the shard's largest group.
+    of = settle(many.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    sizes = of.groupBy("band", "key", "root").count()
+    largest = settle(sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1"))
+    open_shards = settle(of.join(largest, ["band", "key"]))
+    visitors = open_shards.where("root <> largest").withColumn("home", F.col("tile")).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).where("tile <> home")
+    again = open_shards.select("band", "key", "tile", "id", "fp").union(visitors.select("band", "key", "tile", "id", "fp"))
+    return components(settle(roots.select("node", "root").union(links_of(again))))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:

@@ -92,7 +92,7 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("tree", [512, 16])
+@pytest.mark.parametrize("tree", [512, 5])
 def test_one_of_each_against_brute_force(spark, tree):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
