@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import columns as C
 from lettermill.functions import vocab as V
-from lettermill.operators import contacts, filing, ingest, lines, messages as texts, queue
+from lettermill.operators import contacts, filing, ingest, lines, queue
+from lettermill.operators import messages as texts
+from lettermill.streaming import mail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -526,3 +528,22 @@ def target_file_name(spark, sf_dir):
     name = F.when(k == 1, F.concat(F.lit("Offer "), F.col("event_id").cast("string"))).otherwise(F.repeat(F.lit("x"), 70))
     raw = F.when(k == 0, F.lit("none")).otherwise(F.concat(F.lit('ok {"target_file_name": "'), name, F.lit('"} done')))
     return table(spark, sf_dir, "events").select("event_id", filing.file_name(raw, F.when(k == 3, F.lit("short"))).alias("file_name"))
+
+
+def streamed(spark, sf_dir, name: str) -> DataFrame:
+    """A table as a stream."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, since a stream takes no single file
+
+
+@query(f"WITH {RETRY}, e AS (SELECT user_id, min(ts) AS at_ts, arg_min(event_id, struct_pack(a := ts, b := event_id)) AS at_id FROM n WHERE same_count >= 3 GROUP BY user_id) SELECT n.user_id AS id, CAST(epoch_us(n.ts) * 1000 + n.event_id % 1000 AS BIGINT) AS seq, n.same_count, n.same_count >= 3 AS done FROM n LEFT JOIN e ON n.user_id = e.user_id WHERE e.at_ts IS NULL OR n.ts < e.at_ts OR (n.ts = e.at_ts AND n.event_id <= e.at_id)")
+def stream_retry(spark, sf_dir):
+    seq = F.unix_micros(F.col("ts").cast("timestamp"))
+    results = streamed(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (seq * 1000 + F.col("event_id") % 1000).alias("seq"), F.col("event_type").alias("signature"))
+    return mail.run_through(mail.retry_counts(results), "retry")
+
+
+@query(f"WITH {MESSAGES} SELECT DISTINCT hash, account FROM messages")
+def stream_dedup(spark, sf_dir):
+    found = ingest.with_hash(streamed(spark, sf_dir, "documents").select(F.col("text").alias("body"), "source"), account="source")
+    return mail.run_through(mail.first_copies(found.select("hash", "account")), "dedup")
