@@ -17,7 +17,6 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.common import batches_of, id_and_bytes, rows_of
 
-#: Tokens of a sequence, sequences of a shard, rounds of the permutation, words a worker remembers.
-LENGTH, SHARD, ROUNDS, REMEMBERED = 1_024, 8_192, 6, 400_000
+#: Tokens of a sequence, sequences of a shard, rounds of the permutation.
+LENGTH, SHARD, ROUNDS = 1_024, 8_192, 6
 #: Two bytes a token, least significant first.
 TOKEN = np.dtype("<u2")
 
@@ -64,39 +63,25 @@ class Feistel:
         return out.astype(np.int64)
 
 
-class Words(dict):
-    """Ids of words, each with or without the space before it."""
-
-    def __init__(self, by: tiktoken.Encoding, before: str):
-        self.by, self.before = by, before
-
-    def __missing__(self, word: str) -> list[int]:
-        ids = self.by.encode_ordinary(self.before + word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= 48:
-            self[word] = ids
-        return ids
-
-
 class Encoder:
-    """Ids of texts by a vocabulary of at most 65,535 ranks; the first free id ends a text."""
+    """Ids of texts by a vocabulary of at most 65,535 ranks; the first free id ends a text.
+
+    The pattern's look-ahead only matters for white space that comes in runs or ends a text. Other texts are split by the
+    pattern without it, which the library matches about twice as fast.
+    """
 
-    #: Spaces beside other white space change how a pattern splits; such texts are encoded as a whole.
-    odd = re.compile(r" \s|\s |^\s|\s$")
+    runs = r"\s+(?!\S)|\s+"
+    odd = re.compile(r"\s\s|\s\Z")
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.by = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.single = tiktoken.Encoding("single", pat_str=pattern.removesuffix(self.runs) + r"\s", mergeable_ranks=ranks, special_tokens={}) if pattern.endswith(self.runs) else self.by
         self.end = len(ranks)
-        self.after_space = Words(self.by, " ")
 
     def encode(self, text: str) -> list[int]:
-        if not text or self.odd.search(text):
-            return self.by.encode_ordinary(text)
-        first, *rest = text.split(" ")
-        return self.by.encode_ordinary(first) + list(chain.from_iterable(map(self.after_space.__getitem__, rest)))
+        return (self.by if self.odd.search(text) else self.single).encode_ordinary(text)
 
 
 @functools.lru_cache(maxsize=2)
