@@ -39,7 +39,7 @@ def casefold(c: Column) -> Column:
 
 def website_host(c: Column) -> Column:
     """Host of a web address without scheme, path and www."""
-    host = F.split_part(F.regexp_replace(F.lower(strip(c)), "^https?://", ""), F.lit("/"), F.lit(1))
+    host = F.split_part(F.regexp_replace(F.lower(clean_text(c)), "^https?://", ""), F.lit("/"), F.lit(1))
     return F.regexp_replace(host, r"^www\.", "")
 
 
@@ -115,7 +115,7 @@ def hinted_phone_type(label: Column) -> Column:
         F.when(folded.contains("fax"), F.lit("fax"))
         .when(folded.rlike("mobil|handy|cell"), F.lit("mobile"))
         .when(folded.rlike("privat|home"), F.lit("home"))
-        .when(folded.rlike("tel|phone|durchwahl|zentrale|business|office"), F.lit("business"))
+        .when(folded.rlike("tel|phone|zentrale|durchwahl|direct|office|work"), F.lit("business"))
         .otherwise(F.lit("other"))
     )
 
@@ -192,13 +192,13 @@ def header_key(line: Column) -> Column:
 
 
 def is_header_line(line: Column) -> Column:
-    folded = ascii_fold(strip(line))
-    return (header_key(line) != "") | folded.rlike(V.HEADER_TEXT) | folded.rlike(V.SUBJECT_PREFIX) | folded.rlike(V.FORWARD_BANNER) | folded.rlike(V.FORWARD_TEXT)
+    text = preamble_key(line)
+    return (header_key(line) != "") | text.rlike(V.HEADER_TEXT) | text.rlike(V.SUBJECT_PREFIX) | text.rlike(V.FORWARD_BANNER) | text.rlike(V.FORWARD_TEXT)
 
 
 def is_history_intro(line: Column) -> Column:
-    folded = ascii_fold(strip(line))
-    return folded.rlike(V.HISTORY_BANNER) | folded.rlike(r"^(am\s+.+\s+schrieb|on\s+.+\s+wrote)\b")
+    text = preamble_key(line)
+    return text.rlike(V.FORWARD_BANNER) | text.rlike(V.FORWARD_TEXT) | text.rlike(r"^(am\s+.+\s+schrieb|on\s+.+\s+wrote)\b")
 
 
 def is_signature_marker(line: Column) -> Column:
@@ -207,15 +207,17 @@ def is_signature_marker(line: Column) -> Column:
 
 
 def is_legal_footer(line: Column) -> Column:
-    """A line of register or tax numbers, or of what a company's footer says."""
-    folded = ascii_fold(line)
-    return folded.rlike(V.LEGAL_NUMBER) | folded.rlike(V.SIGNATURE_FOOTER)
+    """A line of register or tax numbers, or a company footer set in bullets with a number."""
+    text = clean_text(line)
+    low = F.lower(text)
+    return low.rlike(V.LEGAL_NUMBER) | (text.contains("•") & low.rlike(V.SIGNATURE_FOOTER) & text.rlike(V.PHONE))
 
 
 def is_continuation(line: Column) -> Column:
-    """A line that goes on with the contact above: a labelled number or address, or a bare e-mail or phone."""
-    text = strip(line)
-    return (text != "") & (F.lower(text).rlike(V.CONTINUATION) | text.rlike("^" + V.EMAIL + "$") | text.rlike("^(?:" + V.PHONE + ")$"))
+    """A line that goes on with the contact above: labelled, or with an address, and no list item itself."""
+    text = clean_text(line)
+    item = "(?iu)" + re.sub(r"\(\?P<\w+>", "(", V.CONTACT_LINE)
+    return (text != "") & ~text.rlike(item) & (F.lower(text).rlike(V.CONTINUATION) | text.rlike(V.EMAIL))
 
 
 def preamble_key(line: Column) -> Column:
@@ -224,10 +226,11 @@ def preamble_key(line: Column) -> Column:
 
 
 def is_greeting(line: Column) -> Column:
-    """A greeting by pattern: short, without the words of a message, first of a line."""
-    folded = F.trim(F.regexp_replace(ascii_fold(line), r"(?U)\s+", " "))
-    short = (F.length(folded) <= 120) & (F.size(F.split(folded, " ")) <= 9)
-    return short & ~folded.rlike(V.INLINE_CONTENT) & folded.rlike("^(?:" + "|".join(V.GREETINGS) + "),?$")
+    """A line that only greets, by pattern; typos need the fuzzy form."""
+    text = preamble_key(line)
+    comma = F.instr(text, ",")
+    alone = (comma == 0) & (F.length(text) <= 120) & (F.size(F.split(text, " ")) <= 9) & text.rlike("^(?:" + "|".join(V.GREETINGS) + "),?$")
+    return (text != "") & ~text.rlike(V.INLINE_CONTENT) & (text.startswith("sehr geehrte") | text.startswith("dear ") | alone)
 
 
 def without_quote(line: Column) -> Column:

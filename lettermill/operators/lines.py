@@ -90,7 +90,7 @@ def block_bounds(lines: Column, at: Column, stops: Callable[[Column], Column], r
 def nearest_either_way(positions: Column, at: Column, reach: int) -> Column:
     """The position nearest to `at` within reach; of two as near the one not after it."""
     near = F.filter(positions, lambda p: F.abs(p - at) <= reach)
-    return F.element_at(F.array_sort(F.transform(near, lambda p: F.struct(F.abs(p - at).alias("d"), (p > at).alias("after"), p.alias("p")))), 1)["p"]
+    return F.get(F.array_sort(F.transform(near, lambda p: F.struct(F.abs(p - at).alias("d"), (p > at).alias("after"), p.alias("p")))), F.lit(0))["p"]
 
 
 def hint_counts(lines: Column, pattern: str, tail: int = 14) -> Column:

@@ -178,3 +178,22 @@ def prompt(query_type: Column, text: Column) -> Column:
     return F.when(F.assert_true(query_type.isin("context", "signature"), F.concat(F.lit("unknown query type "), query_type)).isNull(), asked)
 
 
+def as_list(answer: Column) -> Column:
+    """A public result as an array of JSON texts: nothing, the one object, or each of a list."""
+    listed = F.from_json(answer, "array<string>")
+    return F.when(answer.isNull(), F.array().cast("array<string>")).when(F.ltrim(answer).startswith("["), listed).otherwise(F.array(answer))
+
+
+def payload_rows(decisions: DataFrame, key: str, text: Column | str | None = None) -> DataFrame:
+    """One row for each contact of decided messages, as `contacts.payload` takes it: id, its fields, and its payload phones.
+
+    Numbers are looked for in the contact's source text, or in the column `text` where it has none.
+    """
+    rows = decisions.select(F.col(key).alias("id"), F.explode("contacts").alias("c"), (F.lit("") if text is None else F.col(text) if isinstance(text, str) else text).alias("text"))
+
+    def make(k, contact, mail):
+        phones = R.payload_phones(contact, contact.get("source_text") or mail or "")
+        yield (k, *(contact.get(f) for f in ("full_name", "display_name_fallback", "company", "email", "address", "website")), "", [{"type": p["type"], "raw": p["raw"], "e164": p.get("e164")} for p in phones])
+
+    ddl = f"id {_key_type(decisions, key)}, full_name string, display_name_fallback string, company string, email string, address string, website string, notes string, phones array<struct<type:string,raw:string,e164:string>>"
+    return flat_map(rows, ["id", "c", "text"], make, ddl)

@@ -530,6 +530,14 @@ def target_file_name(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", filing.file_name(raw, F.when(k == 3, F.lit("short"))).alias("file_name"))
 
 
+@query()
+def contact_payloads(spark, sf_dir):
+    """From messages to payloads and stored records: the whole path of one mail."""
+    rows = texts.payload_rows(texts.decide(letters(spark, sf_dir), "conv_id", "body"), "conv_id")
+    stored = contacts.contact_dto(contacts.payload(rows).withColumn("problem", contacts.validate(F.col("envelope"))).where("problem is null"))
+    return stored.select("id", "dto.display_name", "dto.business_phone", "dto.email", F.size("envelope.contact.phones").alias("n_phones"))
+
+
 def streamed(spark, sf_dir, name: str) -> DataFrame:
     """A table as a stream."""
     path = f"{sf_dir}/{name}.parquet"
