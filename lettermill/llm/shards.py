@@ -14,8 +14,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,7 +71,9 @@ class Encoder:
     """
 
     runs = r"\s+(?!\S)|\s+"
-    odd = re.compile(r"\s\s|\s\Z")
+    #: Pairs of the usual white space, and all other white space, which makes a text odd by being there.
+    pairs = ("  ", " \n", "\n ", "\n\n")
+    others = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, ranks_path: str, pattern: str):
         with open(ranks_path, "rb") as file:
@@ -80,8 +82,11 @@ class Encoder:
         self.single = tiktoken.Encoding("single", pat_str=pattern.removesuffix(self.runs) + r"\s", mergeable_ranks=ranks, special_tokens={}) if pattern.endswith(self.runs) else self.by
         self.end = len(ranks)
 
+    def is_odd(self, text: str) -> bool:
+        return text[-1:].isspace() or any(p in text for p in self.pairs) or any(c in text for c in self.others)
+
     def encode(self, text: str) -> list[int]:
-        return (self.by if self.odd.search(text) else self.single).encode_ordinary(text)
+        return (self.by if self.is_odd(text) else self.single).encode_ordinary(text)
 
 
 @functools.lru_cache(maxsize=2)
@@ -99,7 +104,9 @@ def sequences(rows: Iterator[tuple], by: Encoder, length: int) -> Iterator[tuple
     """(tokens, segments) of each sequence of a stream of texts; the last is filled up with end tokens. A text's own end token is its last."""
     held, segments, size = [], [], 0
     for key, body in rows:
-        ids = np.array([*by.encode(body.decode("utf-8", "replace")), by.end], TOKEN)
+        ids = array("H", by.encode(body.decode("utf-8", "replace")))
+        ids.append(by.end)
+        ids = np.frombuffer(ids, np.uint16).astype(TOKEN, copy=False)
         at = 0
         while at < len(ids):
             take = min(length - size, len(ids) - at)
@@ -137,18 +144,19 @@ def write_in_order(df: DataFrame, folder: str, ranks_path: str, pattern: str, ke
         firsts[part], total = total, total + sizes[part]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, order = encoder(ranks_path, pattern), Feistel(total, key)
-        part = TaskContext.get().partitionId()
+        by, part = encoder(ranks_path, pattern), TaskContext.get().partitionId()
+        first, size = firsts.get(part, 0), sizes.get(part, 0)
+        slots = Feistel(total, key).slots(np.arange(first, first + size)).tolist()
 
         def rows() -> Iterator[tuple]:
             made = 0
             for tokens, segments in sequences(rows_of(batches), by, length):
-                number = firsts[part] + made
+                if made < size:
+                    slot = slots[made]
+                    yield slot // per_shard, slot, first + made, tokens.tobytes(), segments
                 made += 1
-                slot = int(order.slots(np.array([number]))[0])
-                yield slot // per_shard, slot, number, tokens.tobytes(), segments
-            if made != sizes.get(part, 0):
-                raise RuntimeError(f"partition {part} had {sizes.get(part, 0)} sequences when counted and has {made} now")
+            if made != size:
+                raise RuntimeError(f"partition {part} had {size} sequences when counted and has {made} now")
 
         return batches_of(rows(), _DEALT)
 
