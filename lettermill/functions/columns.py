@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ from lettermill.functions import vocab as V
 SPACE = r"(?U)\s"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def clean_text(c: Column) -> Column:
     """White space to single spaces, trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"(?U)\s+", " "))

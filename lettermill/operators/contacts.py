@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import columns as C
 from lettermill.functions import vocab as V
+from lettermill.functions.columns import let
 
 
 def _rank(kind: Column) -> Column:
@@ -23,24 +24,21 @@ def dedupe_phones(candidates: DataFrame, key: str) -> DataFrame:
 
 def dedupe_phone_array(phones: Column) -> Column:
     """The same within one array of (type, raw), in order of first place."""
-    rank = lambda t: F.coalesce(_rank(t), F.lit(0))
-    digits = F.transform(phones, lambda p: C.phone_digits(p["raw"]))
-    keyed = F.arrays_zip(phones.alias("p"), digits.alias("d"))
-    firsts = F.filter(keyed, lambda x, i: F.array_position(digits, x["d"]) == i + 1)
+    keyed = F.transform(phones, lambda p: F.struct(p["type"].alias("type"), p["raw"].alias("raw"), C.phone_digits(p["raw"]).alias("digits"), F.coalesce(_rank(p["type"]), F.lit(0)).alias("rank")))
 
-    def best(x: Column) -> Column:
-        same = F.filter(keyed, lambda y: y["d"] == x["d"])
-        return F.aggregate(same, x["p"]["type"], lambda a, y: F.when(rank(y["p"]["type"]) > rank(a), y["p"]["type"]).otherwise(a))
+    def firsts(all_phones: Column) -> Column:
+        kept = F.filter(all_phones, lambda p, i: ~F.exists(F.slice(all_phones, F.lit(1), i), lambda q: q["digits"] == p["digits"]))
+        best = lambda p: F.aggregate(all_phones, p, lambda a, q: F.when((q["digits"] == p["digits"]) & (q["rank"] > a["rank"]), q).otherwise(a))["type"]
+        return F.transform(kept, lambda p: F.struct(best(p).alias("type"), p["raw"].alias("raw")))
 
-    return F.transform(firsts, lambda x: F.struct(best(x).alias("type"), x["p"]["raw"].alias("raw")))
+    return let(keyed, firsts)
 
 
 def phone_items(phones: Column) -> Column:
     """Payload phones of deduplicated (type, raw): shown form, and E.164 of that form."""
 
     def item(p: Column) -> Column:
-        shown = C.phone_display(p["raw"])
-        return F.struct(p["type"].alias("type"), shown.alias("raw"), F.nullif(C.phone_e164(shown), F.lit("")).alias("e164"))
+        return let(C.phone_display(p["raw"]), lambda shown: F.struct(p["type"].alias("type"), shown.alias("raw"), C.blank_to_null(C.phone_e164(shown)).alias("e164")))
 
     return F.transform(phones, item)
 
@@ -97,9 +95,10 @@ def validate(envelope: Column) -> Column:
 
 def dto_phones(phones: Column) -> Column:
     """(type, value) of payload phones: cleaned, first of each number, or of each text without digits."""
-    values = F.filter(F.transform(F.coalesce(phones, F.array().cast("array<struct<type:string,raw:string,e164:string>>")), lambda p: F.struct(C.dto_phone_type(p["type"]).alias("type"), C.phone_value(p["raw"], p["e164"]).alias("value"))), lambda p: p["value"] != "")
-    keys = F.transform(values, lambda p: F.when(C.phone_digits(p["value"]) != "", C.phone_digits(p["value"])).otherwise(F.lower(p["value"])))
-    return F.filter(values, lambda p, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+    cleaned = F.transform(F.coalesce(phones, F.array().cast("array<struct<type:string,raw:string,e164:string>>")), lambda p: F.struct(C.dto_phone_type(p["type"]).alias("type"), C.phone_value(p["raw"], p["e164"]).alias("value")))
+    keyed = F.transform(F.filter(cleaned, lambda p: p["value"] != ""), lambda p: p.withField("key", F.coalesce(F.nullif(C.phone_digits(p["value"]), F.lit("")), F.lower(p["value"]))))
+    firsts = lambda all_phones: F.filter(all_phones, lambda p, i: ~F.exists(F.slice(all_phones, F.lit(1), i), lambda q: q["key"] == p["key"]))
+    return F.transform(let(keyed, firsts), lambda p: p.dropFields("key"))
 
 
 def phone_slots(phones: Column) -> Column:
@@ -108,19 +107,32 @@ def phone_slots(phones: Column) -> Column:
     The first of each type goes to its slot, the first of all to business if there is none; second business and home numbers
     have slots of their own; what is left fills the other slots in order, and any beyond those is dropped.
     """
-    first = lambda kind: F.array_position(F.transform(phones, lambda p: p["type"]), F.lit(kind)).cast("int")
-    value = lambda at: F.when(at > 0, F.get(phones, at - 1)["value"])
-    business = F.when(first("business") > 0, first("business")).when(F.size(phones) > 0, F.lit(1)).otherwise(F.lit(0))
-    mobile, home, fax = first("mobile"), first("home"), first("fax")
-    used = F.array(business, mobile, home, fax)
-    rest = F.filter(F.transform(phones, lambda p, i: F.struct((i + 1).alias("at"), p["type"].alias("type"), p["value"].alias("value"))), lambda p: ~F.array_contains(used, p["at"]))
-    second = lambda kind: F.get(F.filter(rest, lambda p: p["type"] == kind), F.lit(0))
-    b2, h2 = second("business"), second("home")
-    others = F.filter(rest, lambda p: ~p["at"].eqNullSafe(b2["at"]) & ~p["at"].eqNullSafe(h2["at"]))
     slots = F.array(*map(F.lit, V.OVERFLOW_SLOTS))
-    entries = F.filter(F.transform(others, lambda p, i: F.struct(F.get(slots, i).alias("key"), p["value"].alias("value"))), lambda e: e["key"].isNotNull())
-    extra = F.filter(F.array(F.struct(F.lit("BusinessPhone2").alias("key"), b2["value"].alias("value")), F.struct(F.lit("HomePhone2").alias("key"), h2["value"].alias("value"))), lambda e: e["value"].isNotNull())
-    return F.struct(value(business).alias("business"), value(mobile).alias("mobile"), value(home).alias("home"), value(fax).alias("fax"), F.map_from_entries(F.concat(extra, entries)).alias("more"))
+
+    def places(p: Column) -> Column:
+        """Where the first of each type is, from 1; 0 for none."""
+        types = F.transform(p, lambda x: x["type"])
+        first = lambda kind: F.array_position(types, F.lit(kind)).cast("int")
+        business = F.when(first("business") > 0, first("business")).otherwise(F.least(F.size(p), F.lit(1)))
+        return F.struct(p.alias("p"), F.array(business, first("mobile"), first("home"), first("fax")).alias("used"))
+
+    def left(x: Column) -> Column:
+        rest = F.filter(F.transform(x["p"], lambda p, i: F.struct((i + 1).alias("at"), p["type"].alias("type"), p["value"].alias("value"))), lambda p: ~F.array_contains(x["used"], p["at"]))
+        return F.struct(x["p"].alias("p"), x["used"].alias("used"), rest.alias("rest"))
+
+    def second(x: Column) -> Column:
+        of = lambda kind: F.get(F.filter(x["rest"], lambda p: p["type"] == kind), F.lit(0))
+        return F.struct(x["p"].alias("p"), x["used"].alias("used"), x["rest"].alias("rest"), of("business").alias("b2"), of("home").alias("h2"))
+
+    def filled(x: Column) -> Column:
+        value = lambda k: F.when(F.get(x["used"], F.lit(k)) > 0, F.get(x["p"], F.get(x["used"], F.lit(k)) - 1)["value"])
+        others = F.filter(x["rest"], lambda p: ~p["at"].eqNullSafe(x["b2"]["at"]) & ~p["at"].eqNullSafe(x["h2"]["at"]))
+        named = lambda key, v: F.struct(F.lit(key).alias("key"), v.alias("value"))
+        seconds = F.filter(F.array(named("BusinessPhone2", x["b2"]["value"]), named("HomePhone2", x["h2"]["value"])), lambda e: e["value"].isNotNull())
+        overflow = F.filter(F.transform(others, lambda p, i: F.struct(F.get(slots, i).alias("key"), p["value"].alias("value"))), lambda e: e["key"].isNotNull())
+        return F.struct(value(0).alias("business"), value(1).alias("mobile"), value(2).alias("home"), value(3).alias("fax"), F.map_from_entries(F.concat(seconds, overflow)).alias("more"))
+
+    return reduce(let, (places, left, second, filled), phones)
 
 
 def contact_dto(envelopes: DataFrame, envelope: str = "envelope") -> DataFrame:
