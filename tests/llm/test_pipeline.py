@@ -49,3 +49,19 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "simhash_near_dedup", "pii", "best_fit_packing"]
     assert packing.LENGTHS
+
+
+NOTHING = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    words = " ".join(f"word{k}" for k in range(40))
+    odd = [(1, words, "en", "s", 1), (1, words, "en", "s", 1), (2, words.upper(), None, None, None), (None, words + " more", None, "s", 3), (3, None, "en", "s", 0), (4, "", None, None, None), (5, words * 300, "en", "s", 9), (6, words + " a@b.example", "de", "s", 2)]
+    for name, rows in (("odd", odd), ("empty", [])):
+        spark.createDataFrame(rows, NOTHING).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, 1, None), (None, 0, 1), (2, None, 0)][: len(rows)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    # 2 is 1 in capitals and 6 is 1 with an address, a null id is nobody's copy, 3 and 4 have no words, 5 repeats itself.
+    assert sorted({str(r["doc_id"]) for r in got}) == ["1", "None"]
+    assert sum(r["doc_id"] == 1 for r in got) == 1
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
