@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm import packing, pii, quality, simhash
-from lettermill.llm.common import shared_dir, table
+from lettermill.llm.common import bounded_batches, shared_dir, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a similarity of 0.8 or more on five-word shingles."""
+    bounded_batches(spark)
     return simhash.one_of_each(docs, size=5, similarity=0.8)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their texts replaced by marks."""
+    bounded_batches(spark)
     return pii.redact(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 

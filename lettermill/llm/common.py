@@ -14,8 +14,23 @@ from pyspark.sql import functions as F
 OUT_ROWS = 500
 
 
+#: Most bytes and rows of an Arrow batch on its way to Python. A batch is held on both sides, rounded up to powers of two, and its memory kept.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to ours; lower ones stay."""
+    for key, most, default in (("maxBytesPerBatch", BATCH_BYTES, 64 << 20), ("maxRecordsPerBatch", BATCH_ROWS, 10_000)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = str(spark.conf.get(name, str(default))).lower()
+        size = int("".join(c for c in now if c.isdigit()) or 0) << {"k": 10, "m": 20, "g": 30}.get(now.rstrip("b")[-1:], 0)
+        if size <= 0 or size > most:
+            spark.conf.set(name, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table `name` of a data folder, by whatever file system Spark knows."""
+    """The Parquet table `name` of a data folder, by whatever file system Spark knows; its texts go to Python in bounded batches."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
