@@ -11,6 +11,7 @@ from lettermill.functions import columns as C
 from lettermill.functions import vocab as V
 from lettermill.operators import contacts, filing, ingest, lines, queue
 from lettermill.operators import messages as texts
+from lettermill.operators.grounding import occurrences
 from lettermill.streaming import mail
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,11 +309,7 @@ def header_cluster(spark, sf_dir):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def grounding(spark, sf_dir):
-    """Which values occur in which texts. Values are a short list by contract, so each task holds them all; beyond that bound, Catalyst's own choice of join stands."""
-    docs = table(spark, sf_dir, "documents")
-    values = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"))
-    held = values.agg(F.collect_list(F.struct("item_id", F.lower("value").alias("value"))).alias("held"))
-    return docs.select("doc_id", F.lower("text").alias("low")).join(F.broadcast(held)).select("doc_id", F.explode(F.filter("held", lambda v: F.col("low").contains(v["value"]))["item_id"]).alias("item_id"))
+    return occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query("""WITH n AS (SELECT c_custkey, split_part(c_name, '#', 2) AS display_name, c_nationkey || '.' || CAST(round(c_acctbal / 100) AS INT) || '@x.example' AS email FROM customer),

@@ -126,3 +126,12 @@ def test_schemas(spark):
     assert schemas.with_account(rows.drop("account")).first()["account"] == "bewerbung"
     people = spark.createDataFrame([(1,)], "id int").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schemas.schema_of("contacts")))
     assert {r["rule"] for r in schemas.violations(people, "contacts").collect()} == {"a name is present", "a phone is present"}
+
+
+@pytest.mark.parametrize("block", [4_000_000, 3])
+def test_occurrences(spark, block):
+    from lettermill.operators.grounding import occurrences
+
+    docs = spark.createDataFrame([(1, "Eva Lang, Bonn"), (2, "bonn"), (3, None)], "id int, t string")
+    values = spark.createDataFrame([(10, "BONN"), (11, "eva"), (12, " "), (13, None), (14, "Köln")], "item int, v string")
+    assert sorted(map(tuple, occurrences(docs, values, "id", "t", "item", "v", block).collect())) == [(1, 10), (1, 11), (2, 10)]
