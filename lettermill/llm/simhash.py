@@ -204,7 +204,7 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, tree: int = T
 def sketch(body: bytes, size: int, bands: int, rows: int) -> tuple[int, list[int], np.ndarray]:
     """Fingerprint, shard keys and sorted distinct shingle hashes (32 bits) of a text. Texts of Jaccard similarity j share a given key with chance j ** rows."""
     values = hashes(shingles(body.lower().split(), size))
-    return majority(values), shard_keys(values, bands, rows), np.unique((values >> np.uint64(32)).astype(np.uint32))
+    return majority(np.unique(values)), shard_keys(values, bands, rows), np.unique((values >> np.uint64(32)).astype(np.uint32))
 
 
 def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +237,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18, bands: int = 12, rows: int = 4, tree: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id and root for each id of `df` that has a smaller one in its group: groups link texts whose sets of `size`-word shingles have a Jaccard similarity of at least `similarity`.
 
+    Fingerprints here are of the distinct shingles, as the similarity is, so that repeated lines and phrases do not move them.
     At that similarity fingerprints differ by 10 bits or so, too many for the pigeonhole rule, so here shards come from
     `bands` least-hash keys of the shingles: two texts at 0.8 meet in a shard with a chance of 0.998, and differ by at most
     `radius` bits with one over 0.99. Each shard's BK-tree finds the pairs within the radius, and the shingle sets decide
@@ -253,7 +254,7 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius
                 words = body.lower().split()
                 values = hashes(shingles(words, size))
                 whole = xxhash.xxh3_128_intdigest(b" ".join(words))
-                yield key, signed(whole & (2**64 - 1)), signed(whole >> 64), majority(values), shard_keys(values, bands, rows)
+                yield key, signed(whole & (2**64 - 1)), signed(whole >> 64), majority(np.unique(values)), shard_keys(values, bands, rows)
 
         return batches_of(out(), light_schema, 2000)
 

@@ -122,3 +122,18 @@ def test_one_of_each_against_brute_force(spark, tree):
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(set(group.values()))
     assert sum(r["doc_id"] is None for r in rows) == 2
     assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_repeats_hide_no_near_duplicate(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = []
+    for _ in range(12):
+        words = [word() for _ in range(1000)]
+        line, phrase = word(), [word() for _ in range(12)]
+        texts += [words, words + [line] * 53, words + phrase * 15, words[:500] + phrase * 12 + words[500:]]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    group = brute_groups(pairs, range(len(texts)))
+    kept = simhash.one_of_each(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group.values()))
