@@ -480,10 +480,12 @@ def signature_contacts(spark, sf_dir):
 
 
 def contact_lists(spark, sf_dir):
-    """Customers of a nation as a list of contacts in a message."""
+    """All customers, dealt into lists of contacts in a message: 997 lists, or more so that a list has about three, since rules read a list once for each contact."""
+    customers = table(spark, sf_dir, "customer")
+    lists = max(997, -(-customers.count() // 3))
     line = F.concat(F.lit("Org "), F.col("c_mktsegment"), F.lit(" - Ann Miller; +49 30 "), (1000000 + F.col("c_custkey")).cast("string"), F.lit("; ann"), F.col("c_custkey").cast("string"), F.lit("@north.invalid\nMobil: +49 171 "), (2000000 + F.col("c_custkey")).cast("string"))
     held = F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("line"))))
-    return table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").groupBy((F.col("c_custkey") % 997).alias("list_id")).agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("body"))
+    return customers.groupBy((F.col("c_custkey") % lists).alias("list_id")).agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("body"))
 
 
 @query()

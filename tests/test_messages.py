@@ -165,3 +165,12 @@ def test_merge():
     assert len(R.merge([eva, eva | {"full_name": "Max Muster", "email": "max@nord.invalid"}])) == 2
     assert R.merge([eva, eva]) == [eva] or len(R.merge([eva, eva])) == 1
     assert R.merge([]) == []
+
+
+def test_contact_lists_have_every_customer(spark):
+    from lettermill.plans import catalog
+
+    bodies = [r["body"] for r in catalog.contact_lists(spark, "/root/testdata/sf0.001").collect()]
+    keys = [r["c_custkey"] for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").collect()]
+    assert sorted(line for b in bodies for line in b.split("\n") if line.startswith("Mobil")) == sorted(f"Mobil: +49 171 {2000000 + k}" for k in keys)
+    assert set(range(150)) & {k % 997 for k in keys} <= {r["list_id"] for r in catalog.QUERIES["structured_contacts"](spark, "/root/testdata/sf0.001").collect()}
