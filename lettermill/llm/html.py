@@ -58,7 +58,7 @@ STOP_HIGH, STOP_LOW = 0.15, 0.05
 _TAG_NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:_-]*")
 _ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_TAG_END = re.compile(r"""[^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*>""")
+_QUOTE_OR_END = re.compile(r"""["'>]""")
 
 
 class Block:
@@ -82,12 +82,30 @@ def _names_furniture(attributes: str) -> bool:
     return False
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the first `>` outside of quotes is, from `at` on; -1: nowhere. `dead` keeps the opening quotes from which no way leads to one, so that no quote is followed twice."""
+    seen = []
+    while m := _QUOTE_OR_END.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        if m.start() in dead:
+            break
+        seen.append(m.start())
+        at = page.find(m[0], m.end()) + 1
+        if not at:
+            break
+    dead.update(seen)
+    return -1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order. Linear in its length; broken mark-up never raises: an open tag, comment or script runs to where the page ends."""
     out: list[Block] = []
     pieces: list[str] = []
     linked = 0
     open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, main
+    places: dict[str, list[int]] = {}  # of each name in open_tags
+    dead: set[int] = set()
     furniture = main = links = 0
     heading = False
     no_end: set[str] = set()
@@ -105,6 +123,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal furniture, main, links
         while len(open_tags) > k:
             name, f, m = open_tags.pop()
+            places[name].pop()
             furniture -= f
             main -= m
             links -= name == "a"
@@ -140,8 +159,8 @@ def blocks(page: str) -> list[Block]:
             break  # a tag that the page's end cuts off
         attributes = page[m.end() : end]
         if attributes.count('"') % 2 or attributes.count("'") % 2:
-            whole = _TAG_END.match(page, m.end(), m.end() + 20_000)
-            end = whole.end() - 1 if whole else end
+            whole = _tag_end(page, m.end(), dead)
+            end = end if whole < 0 else whole
             attributes = page[m.end() : end]
         at = end + 1
         name = m[0].lower()
@@ -150,13 +169,10 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK_TAGS:
                 flush()
                 heading = False
-            for k in range(len(open_tags) - 1, max(-1, len(open_tags) - 64), -1):
-                if open_tags[k][0] == name:
-                    close(k)
-                    break
-                if open_tags[k][0] in MAIN_TAGS or open_tags[k][0] == "body":
-                    if name not in MAIN_TAGS and name != "body":
-                        break  # an end tag never closes the article around it
+            if places.get(name):
+                around = () if name in MAIN_TAGS or name == "body" else (*MAIN_TAGS, "body")
+                if all(places[name][-1] > places[x][-1] for x in around if places.get(x)):  # an end tag never closes the article around it
+                    close(places[name][-1])
             continue
         if name in BLOCK_TAGS:
             flush()
@@ -179,6 +195,7 @@ def blocks(page: str) -> list[Block]:
             close(len(open_tags) - 1)
         is_main = name in MAIN_TAGS
         is_furniture = name not in ("html", "body") and not (name == "header" and main) and (name in FURNITURE_TAGS or bool(attributes.strip()) and not is_main and _names_furniture(attributes))
+        places.setdefault(name, []).append(len(open_tags))
         open_tags.append((name, is_furniture, is_main))
         furniture += is_furniture
         main += is_main

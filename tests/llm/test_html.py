@@ -51,3 +51,21 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (2, "u", "<article>x</article>", "t"), (2, "u", "<article>x</article>", "t"), (None, None, "<p>", "t")], "page_id long, url string, html string, text string")
     assert sorted((tuple(r) for r in html.extract_main_text(df).collect()), key=str) == sorted([(1, None, ""), (2, "u", "x"), (2, "u", "x"), (None, None, "")], key=str)
     assert html.extract_main_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<nav><ul>" + "<li><span>go" * 64 + "</ul></nav><p>" + PROSE * 2 + "</p>", (PROSE * 2).strip()),
+        ("<div class=menu>" + "<font>x" * 500 + "</div><article><p>a b</p></article>", "a b"),
+        ("<article><p data-x='" + "<b>no</b> " * 5000 + "'>x</p></article>", "x"),
+        ('<article><p>a</p><img src="data:image/svg+xml,' + "<path d='M0'/>" * 4000 + '"><p>b</p></article>', "a b"),
+    ],
+)
+def test_no_reach(page, text):
+    assert html.main_text(page).strip() == text
+
+
+def test_quotes_stay_linear():
+    for page in ("<p a='>'\"" * 60_000, "<p a='>" * 100_000, "<p a=\">'" * 60_000, "<div><span>" * 50_000 + "</p></div>" * 50_000):
+        html.main_text(page)
