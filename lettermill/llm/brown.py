@@ -1,10 +1,11 @@
 """Operator 6: language-model scores by class-based n-grams.
 
 Words fall into classes; the chance of a token is that of its class after the class before it, times that of the word within
-its class. Classes come from exchange clustering: the most frequent words, and groups of all other words by their ending, are
-moved one at a time to the class that raises the likelihood of the class bigrams most, until no move does. The table that
-clustering reads is bounded by its side, whatever the size of the corpus; every word of the corpus has its own count and
-its own emission. Emissions give up a discount for words never seen in training; transitions back off to class frequencies.
+its class. Classes come from exchange clustering in two steps. First the most frequent words, and groups of all other words by their
+ending, are moved one at a time to the class that raises the likelihood of the class bigrams most; the table for that is
+bounded by its side. Then sweeps over the corpus count, for each of the HOT words by itself, the classes before and after it, and
+take it to its best class by these, as long as the likelihood of the class bigrams rises. Every word of the corpus has its own
+count and its own emission. Emissions give up a discount for words never seen in training; transitions back off to class frequencies.
 
 Counts of all training words stay distributed. Only the words above a count that at most HOT words reach, a bounded number, go
 to every task; a text's other words are looked up by a join.
@@ -27,6 +28,8 @@ from lettermill.llm.common import batches_of, rows_of, settle
 
 #: Words that every task may hold, words clustered one by one, endings that group all others, classes, and most rounds of exchange.
 HOT, SINGLE, ENDINGS, CLASSES, ROUNDS = 200_000, 600, 200, 48, 12
+#: Most sweeps of all hot words, and the least rise of the likelihood, as a part of it, for another one.
+SWEEPS, RISE = 3, 0.0005
 #: The token that ends a text; no word is empty.
 END = b""
 #: Words a task counts before it hands counts on.
@@ -94,6 +97,7 @@ class Model:
         self.item = np.array([k if k < self.single else self.single - 1 - rest[w] for k, w in enumerate(self.words)], np.int64)
         self.items = self.single + ENDINGS
         self.class_of_item = np.zeros(self.items, np.int64)
+        self.hot_class = np.zeros(len(self.words), np.int64)
 
     def index(self) -> Items:
         return Items(zip(self.words, range(len(self.words)), strict=True))
@@ -104,6 +108,14 @@ class Model:
         out[known] = self.item[codes[known]]
         return out
 
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        """Class of each code: a hot word's own, or that of an ending's group."""
+        out = np.empty(len(codes), np.int64)
+        known = codes >= 0
+        out[known] = self.hot_class[codes[known]]
+        out[~known] = self.class_of_item[self.single - 1 - codes[~known]]
+        return out
+
 
 _INDEX: dict[str, tuple] = {}
 
@@ -166,6 +178,85 @@ def count_pairs(texts: DataFrame, model: Model) -> np.ndarray:
     return table
 
 
+def count_neighbours(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class follows, and precedes, each hot word and then each ending's group of other words."""
+    shared, hot = share(texts, model), len(model.words)
+    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+    side = hot + ENDINGS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, index = _index(shared)
+        held: list[int] = []
+
+        def put() -> Iterator[pa.RecordBatch]:
+            codes = np.array(held, np.int64)
+            of = model.classes(codes)
+            rows = np.where(codes >= 0, codes, hot - 1 - codes)
+            cells, n = np.unique(np.concatenate([rows[:-1] * CLASSES + of[1:], (side + rows[1:]) * CLASSES + of[:-1]]), return_counts=True)
+            for at in range(0, len(cells), 100_000):
+                yield pa.record_batch([pa.array(cells[at : at + 100_000]), pa.array(n[at : at + 100_000])], schema=schema)
+            held.clear()
+
+        start = [index[END]]
+        for (body,) in rows_of(batches):
+            if not held:
+                held += start
+            held += map(index.__getitem__, tokens(body))
+            if len(held) > 2_000_000:
+                yield from put()
+        if held:
+            yield from put()
+
+    summed = texts.select("body").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(2 * side * CLASSES, np.int64)
+    table[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
+    return tuple(table.reshape(2, side, CLASSES))
+
+
+def by_class(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class."""
+    out = np.zeros((CLASSES, CLASSES), np.int64)
+    np.add.at(out, of, rows)
+    return out
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of class bigrams, without what no classes change."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def best_classes(out_of: np.ndarray, into: np.ndarray, table: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The class of each word in which its neighbours are likeliest, the other words' classes given; the one it has where none is better."""
+    after = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * CLASSES))
+    before = np.log((table + 0.5) / (table.sum(0, keepdims=True) + 0.5 * CLASSES)).T
+    gain = out_of @ after.T + into @ before.T
+    best, here = gain.argmax(1), np.arange(len(of))
+    return np.where(gain[here, best] > gain[here, of] + 1e-9, best, of)
+
+
+def sweep(train: DataFrame, model: Model) -> np.ndarray:
+    """Takes each hot word to its best class, as long as the class bigrams get likelier; the table of class bigrams of the classes kept."""
+    model.hot_class = model.class_of_item[model.item]
+    groups, hot = model.class_of_item[model.single :], len(model.words)
+    kept = None
+    for left in range(SWEEPS, -1, -1):
+        out_of, into = count_neighbours(train, model)
+        table = by_class(out_of, np.concatenate([model.hot_class, groups]))
+        now = likelihood(table)
+        if kept is not None and now <= kept[0]:
+            _, model.hot_class, table = kept
+            break
+        rose = kept is None or now - kept[0] > RISE * abs(kept[0])
+        kept = now, model.hot_class, table
+        if not left or not rose:
+            break
+        moved = best_classes(out_of[:hot], into[:hot], table, model.hot_class)
+        if (moved == model.hot_class).all():
+            break
+        model.hot_class = moved
+    return table
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
@@ -251,7 +342,7 @@ def class_counts(counts: DataFrame, model: Model) -> Emissions:
         for batch in batches:
             codes = np.array(list(map(index.__getitem__, batch.column(0).to_pylist())), np.int64)
             if len(codes):
-                yield pa.record_batch([pa.array(model.class_of_item[model.to_items(codes)].astype(np.int32)), batch.column(1)], schema=schema)
+                yield pa.record_batch([pa.array(model.classes(codes).astype(np.int32)), batch.column(1)], schema=schema)
 
     got = counts.select("word", "n").mapInArrow(run, "item int, n long").groupBy("item").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
     table = np.zeros((4, CLASSES), np.int64)
@@ -279,24 +370,23 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: in
     model = Model(hot_words(counts, hot), single)
     pairs = count_pairs(train, model)
     model.class_of_item = exchange(pairs)
-    moves = transitions(pairs, model.class_of_item)
+    moves = transitions(sweep(train, model), np.arange(CLASSES))
     emit = class_counts(counts, model)
     unit = float(total + distinct + 1)
     model.moves = moves
-    model.hot_class = model.class_of_item[model.item]
     model.hot_base = np.log10((model.n + 1) / unit)
     model.hot_emit = emit.seen(model.n, model.hot_class) if len(model.n) else np.zeros(0)
     shared = share(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, index = _index(shared)
-        before = model.class_of_item[model.to_items(np.array([index[END]], np.int64))]
+        before = model.classes(np.array([index[END]], np.int64))
 
         def rows() -> Iterator[tuple]:
             for key, body in rows_of(batches):
                 words = tokens(body)
                 codes = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                classes = model.class_of_item[model.to_items(codes)]
+                classes = model.classes(codes)
                 known = codes[codes >= 0]
                 path = model.moves[np.concatenate([before, classes[:-1]]), classes].sum()
                 digest = xxhash.xxh64_intdigest(body)

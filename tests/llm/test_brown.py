@@ -66,3 +66,30 @@ def test_empty_and_untrained(spark):
     only = [i for i in range(50) if zlib.crc32(str(i).encode()) % 7 == 2][:1]
     r = brown.score(spark.createDataFrame([(only[0], "a b")], "doc_id long, text string")).first()
     assert r["held_out"] and r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"])
+
+
+def test_words_beyond_the_table_go_to_the_class_of_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    common = [f"{'xy'[k % 2]}{k}" for k in range(20)]
+    # Two kinds of rare words that alternate with two kinds of common ones; their endings say nothing.
+    rare = [f"r{k}{rng.integers(100, 999)}" for k in range(300)]
+    texts = []
+    for _ in range(400):
+        words = []
+        for _ in range(30):
+            k = int(rng.integers(0, 300))
+            words += [common[2 * int(rng.integers(0, 10)) + k % 2], rare[k]]
+        texts.append(" ".join(words))
+    train = spark.createDataFrame([(t.encode(),) for t in texts], "body binary").repartition(3)
+    model = brown.Model(brown.hot_words(brown.count_words(train)), 21)
+    model.class_of_item = brown.exchange(brown.count_pairs(train, model))
+    start = model.class_of_item[model.item]
+    table = brown.sweep(train, model)
+    pairs = brown.Model(list(zip(model.words, model.n.tolist(), strict=True)), len(model.words))
+    whole = brown.count_pairs(train, pairs)[: len(model.words), : len(model.words)]
+    member = np.eye(brown.CLASSES, dtype=np.int64)[model.hot_class]
+    assert (table == member.T @ whole @ member).all()
+    old = np.eye(brown.CLASSES, dtype=np.int64)[start]
+    assert brown.likelihood(table) > brown.likelihood(old.T @ whole @ old)
+    kinds = [{int(c) for w, c in zip(model.words, model.hot_class, strict=True) if w[:1] == b"r" and rare.index(w.decode()) % 2 == kind} for kind in (0, 1)]
+    assert not kinds[0] & kinds[1]
