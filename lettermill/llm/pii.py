@@ -154,8 +154,11 @@ class Mapped:
 
 _alternatives = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
 _DIGIT_WORD = rf"(?:{_alternatives(SPELLED)})"
-_RUN = re.compile(rf"(?<![^\W_])(?:{_DIGIT_WORD}|[0-9])(?:[\x20,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])(?![^\W_]))+(?![^\W_])", re.IGNORECASE)
-_IN_RUN = re.compile(rf"{_DIGIT_WORD}|[0-9]|[^0-9\W]+|[\W_]+", re.IGNORECASE)
+_WORDS = re.compile(r"[^\W_]+")
+_DIGIT_TOKEN = re.compile(rf"(?<![^\W_])(?:{_DIGIT_WORD}|[0-9])(?![^\W_])", re.IGNORECASE)
+_DIGIT_GAP = re.compile(r"[\x20,.-]{1,2}")
+_SIGN_BEFORE = re.compile(rf"(?:(?<![^\W_])(?:{_alternatives((*DOT_WORDS, *PLUS_WORDS))})[\s\])}}]*|\+\s?\(?|[\[({{]\s*\.\s*[\])}}]\s*|[0-9][\x20,.-]{{1,2}})$", re.IGNORECASE)
+_SIGN_AFTER = re.compile(rf"\s*[\[({{]?\s*(?:{_alternatives(DOT_WORDS)})(?![^\W_])|\s*[\[({{]\s*\.\s*[\])}}]|[\x20,.-]{{1,2}}[0-9]", re.IGNORECASE)
 _BETWEEN_DIGITS = re.compile(rf"(?<=[0-9])\s*(?:\[\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\]|\(\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\)|\{{\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\}}|(?<=\s)(?:{_alternatives(DOT_WORDS)})(?=\s))\s*(?=[0-9])", re.IGNORECASE)
 _PLUS = re.compile(rf"(?<![^\W_])(?:{_alternatives(PLUS_WORDS)})\s+(?=[0-9])|\(\s*(?:{_alternatives(PLUS_WORDS)})\s*\)\s*(?=[0-9])", re.IGNORECASE)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl|](?=[0-9]|[\x20.-][0-9]{2})|(?<=[0-9][\x20.-])[OoIl|](?=[0-9]{2})")
@@ -168,8 +171,6 @@ _ANY_DOT = re.compile(_DOT, re.IGNORECASE)
 _REACH = 96
 #: Any of these can begin a disguise of an address; a bare word for the at sign alone needs a disguised dot or a known last label.
 _DISGUISED_AT = re.compile(rf"[\[({{<]\s*(?:{_alternatives(AT_WORDS)}|@)\s*[\])}}>]|\s@|@\s|\s(?:{_alternatives(AT_WORDS)})\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]|{_DOT})|@[A-Za-z0-9-]+{_DOT}|{_DOT}[A-Za-z0-9_%+-]+@", re.IGNORECASE)
-#: Words that only disguises have, with what may stand before or after them; "un" and "dos" alone are everyday words.
-_RUN_WORDS = frozenset(a + w + b for w in SPELLED for a in ("", "(", "+") for b in ("", ",", ".", ")", ";")) - {"un", "un,", "un.", "dos", "dos,", "dos.", "oh", "oh,", "oh."}
 _STRANGE = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "٠-٩۰-۹०-९！-～  -   　①-⑨\U0001d400-\U0001d7ff" + "]")
 
 
@@ -180,18 +181,27 @@ def lookalikes(mapped: Mapped) -> Mapped:
     return mapped.rewritten([(m.start(), m.end(), put) for m in _STRANGE.finditer(mapped.text) if (put := _looks_like(m[0])) is not None])
 
 
-def spelled_digits(mapped: Mapped) -> Mapped:
-    """Transducer of runs of three or more spelled digits, or two beside literal ones; single spaces, commas, hyphens and dots between them go."""
-    edits = []
-    for m in _RUN.finditer(mapped.text):
-        tokens = [(m.start() + t.start(), m.start() + t.end(), t[0]) for t in _IN_RUN.finditer(m[0])]
-        if sum(t[2].lower() in SPELLED for t in tokens) < 3:
+def spelled_digits(mapped: Mapped, dots: bool = False) -> Mapped:
+    """Transducer of spelled digits beside another digit, spelled or not, or a dot or plus sign or word; single spaces, commas, hyphens and dots between single digits go, the dots only without `dots`."""
+    text, edits = mapped.text, []
+    tokens = [(m.start(), m.end(), SPELLED.get(m[0].lower())) for m in _DIGIT_TOKEN.finditer(text)]
+    at = 0
+    while at < len(tokens):
+        end = at + 1
+        while end < len(tokens) and _DIGIT_GAP.fullmatch(text, tokens[end - 1][1], tokens[end][0]):
+            end += 1
+        run, at = tokens[at:end], end
+        if all(digit is None for *_, digit in run):
             continue
-        for k, (a, b, token) in enumerate(tokens):
-            if (digit := SPELLED.get(token.lower())) is not None:
+        first, last = run[0][0], run[-1][1]
+        if len(run) == 1 and not _SIGN_BEFORE.search(text[max(0, first - 16) : first]) and not _SIGN_AFTER.match(text, last):
+            continue
+        for k, (a, b, digit) in enumerate(run):
+            if k:
+                gap = text[run[k - 1][1] : a]
+                edits.append((run[k - 1][1], a, "." if dots and "." in gap else ""))
+            if digit is not None:
                 edits.append((a, b, digit))
-            elif token[0] in " ,.-" and 0 < k < len(tokens) - 1:
-                edits.append((a, b, ""))
     return mapped.rewritten(edits)
 
 
@@ -242,13 +252,16 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     mapped = lookalikes(Mapped.of(text)) if not text.isascii() and _STRANGE.search(text) else None
     read = mapped.text if mapped else text
     low = read.lower()
-    numbers = mapped
-    if not _RUN_WORDS.isdisjoint(low.replace("-", " ").split()):
-        numbers = spelled_digits(numbers or Mapped.of(text))
-    if any(w in low for w in (*DOT_WORDS, *PLUS_WORDS)) or _BETWEEN_DIGITS.search(read) or _LETTER_DIGIT.search(read):
-        numbers = signs_in_numbers(numbers or Mapped.of(text))
+    readings = [mapped] if mapped else []
+    if not SPELLED.keys().isdisjoint(_WORDS.findall(low)):
+        whole = mapped or Mapped.of(text)
+        spelled = [spelled_digits(whole), spelled_digits(whole, dots=True)]
+        if spelled[0] is not whole:
+            readings = spelled[: 1 + (spelled[0].text != spelled[1].text)]
+    if any(w in low for w in (*DOT_WORDS, *PLUS_WORDS)) or any(_BETWEEN_DIGITS.search(t) or _LETTER_DIGIT.search(t) for t in (r.text for r in readings) if t) or not readings and (_BETWEEN_DIGITS.search(read) or _LETTER_DIGIT.search(read)):
+        readings = [signs_in_numbers(r) for r in readings or [Mapped.of(text)]]
     found: list[Span] = []
-    if numbers is not None:
+    for numbers in readings:
         for a, b, kind in plain_spans(numbers.text):
             if any(numbers.new[a:b]):
                 found.append((*numbers.source(a, b), kind))

@@ -90,3 +90,22 @@ def test_rows(spark):
     assert pii.find_personal_data(df.limit(0)).count() == 0
     assert pii.redact(df.where("doc_id = 4")).first()["text"] == "[EMAIL]"
     assert [tuple(r) for r in pii.redact(df.where("doc_id < 3")).collect()] == [(1, None, "k"), (2, "", "k")]
+
+
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("x one nine two dot one six eight dot one dot one y", "ip", "one nine two dot one six eight dot one dot one"),
+        ("x one zero dot zero dot zero dot one y", "ip", "one zero dot zero dot zero dot one"),
+        ("x 10.0.0.one y", "ip", "10.0.0.one"),
+        ("x ten 192.one six eight.1.1 y", "ip", "192.one six eight.1.1"),
+        ("x one[.]two[.]three[.]four y", "ip", "one[.]two[.]three[.]four"),
+        ("call +49 151 two three 456789 now", "phone", "+49 151 two three 456789"),
+        ("call +four nine 151 23456789 now", "phone", "+four nine 151 23456789"),
+        ("card four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one ok", "card", "four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one"),
+        ("card four,one,one,one,one,one,one,one,one,one,one,one,one,one,one,one ok", "card", "four,one,one,one,one,one,one,one,one,one,one,one,one,one,one,one"),
+    ],
+)
+def test_few_spelled_digits(text, kind, part):
+    base = pii.in_order(pii.plain_spans(text))
+    assert [text[a:b] for a, b, k in pii.added_spans(text, base) if k == kind] == [part]
