@@ -1,15 +1,16 @@
 """Operator 7: main text of a page by two-pass block rules.
 
 A linear scan cuts the page into blocks and notes, for each, its words, the part of them inside links, its stop words, and
-whether the mark-up says that it is page furniture or belongs to the article. Pass one decides blocks by these: link density,
-length and stop-word density. Ambiguous short blocks stay open and, in pass two, take the label of the nearest decided
-neighbours.
+the elements around it. Pass one decides blocks by link density, length and stop-word density; mark-up that names page
+furniture or an article shifts the bar, and pages without any such mark-up are decided by the words alone. Ambiguous short
+blocks stay open and, in pass two, take the label of the nearest decided neighbours within the same part of the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,8 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 #: Elements that hold the main text.
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold blocks and so say which blocks are neighbours.
+HOLDERS = frozenset("article aside blockquote body center details dialog div dl fieldset figure footer form header html main menu nav ol section table tbody td tr ul".split())
 #: Words in class, id and role that name page furniture.
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsorship promo promoted promotion outbrain taboola "
@@ -50,25 +53,46 @@ STOP_WORDS = frozenset(
     "le la les de des du et en un une est que qui dans pour par sur au aux ce cette avec pas plus il elle on nous vous se ne sont son sa ses ou mais "
     "el los las del y que en un una por con no para su al lo como más o pero sus le ya fue este ha si porque esta entre cuando muy sin sobre también me hay donde".split()
 )
-#: A block with a larger part of its words in links is furniture; shorter than SHORT words it stays open; LONG is enough by itself.
-LINKS, SHORT, LONG = 0.5, 10, 25
+#: A block with a larger part of its words in links is furniture; shorter than SHORT words it stays open; from LONG on a few stop words
+#: are enough, and from MASS on, where no more than FEW_LINKS of its words are in links, none are needed: the stop words are of four languages only.
+LINKS, FEW_LINKS, SHORT, LONG, MASS = 0.5, 0.2, 10, 25, 40
 #: Least part of stop words in a block that counts as prose, and in one that may.
 STOP_HIGH, STOP_LOW = 0.15, 0.05
 
 _TAG_NAME = re.compile(r"/?[A-Za-z][A-Za-z0-9:_-]*")
 _ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _QUOTE_OR_END = re.compile(r"""["'>]""")
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "main", "furniture", "heading", "label")
+    __slots__ = ("text", "words", "linked", "heading", "node", "main", "furniture", "label")
 
-    def __init__(self, text: str, words: int, linked: int, main: bool, furniture: bool, heading: bool):
-        self.text, self.words, self.linked, self.main, self.furniture, self.heading = text, words, linked, main, furniture, heading
+    def __init__(self, text: str, words: int, linked: int, heading: bool, node: int):
+        self.text, self.words, self.linked, self.heading, self.node = text, words, linked, heading, node
+        self.main = self.furniture = False
         self.label = ""
 
 
+class Nodes:
+    """The elements that hold blocks, each after the one around it; node 0 is the page."""
+
+    def __init__(self):
+        self.around, self.furniture, self.main = [0], [False], [False]
+
+    def add(self, around: int, furniture: bool, main: bool) -> int:
+        self.around.append(around)
+        self.furniture.append(furniture)
+        self.main.append(main or self.main[around])
+        return len(self.around) - 1
+
+    def settle(self) -> None:
+        """Hands each mark of furniture on to the nodes inside."""
+        for k in range(1, len(self.around)):
+            self.furniture[k] = self.furniture[k] or self.furniture[self.around[k]]
+
+
 def _names_furniture(attributes: str) -> bool:
     for name, value in _ATTRIBUTES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -98,35 +122,43 @@ def _tag_end(page: str, at: int, dead: set[int]) -> int:
     return -1
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. Linear in its length; broken mark-up never raises: an open tag, comment or script runs to where the page ends."""
+def scan(page: str) -> tuple[list[Block], Nodes]:
+    """The page's blocks in order, and the elements around them.
+
+    Linear in the page's length; broken mark-up never raises: an open tag, comment or script runs to where the page ends.
+    """
     out: list[Block] = []
     pieces: list[str] = []
     linked = 0
-    open_tags: list[tuple[str, bool, bool]] = []  # name, furniture, main
+    nodes = Nodes()
+    open_tags: list[tuple[str, int]] = []  # name, and the node that it is or is in
     places: dict[str, list[int]] = {}  # of each name in open_tags
+    wraps: list[int] = []  # nodes of open forms, whose mark is void once an article or its heading is found inside
     dead: set[int] = set()
-    furniture = main = links = 0
+    links = 0
     heading = False
     no_end: set[str] = set()
 
+    def here() -> int:
+        return open_tags[-1][1] if open_tags else 0
+
     def flush() -> None:
         nonlocal linked, heading
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, text.count(" ") + 1, linked, main > 0, furniture > 0, heading))
+                out.append(Block(text, text.count(" ") + 1, linked, heading, here()))
             pieces.clear()
         linked = 0
 
     def close(k: int) -> None:
-        nonlocal furniture, main, links
+        nonlocal links
         while len(open_tags) > k:
-            name, f, m = open_tags.pop()
+            name, node = open_tags.pop()
             places[name].pop()
-            furniture -= f
-            main -= m
             links -= name == "a"
+            if wraps and wraps[-1] == node and here() != node:
+                wraps.pop()
 
     at, size = 0, len(page)
     while at < size:
@@ -193,67 +225,102 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and open_tags and open_tags[-1][0] == name:
             close(len(open_tags) - 1)
+        node = here()
         is_main = name in MAIN_TAGS
-        is_furniture = name not in ("html", "body") and not (name == "header" and main) and (name in FURNITURE_TAGS or bool(attributes.strip()) and not is_main and _names_furniture(attributes))
+        if is_main or name == "h1":
+            for k in wraps:
+                nodes.furniture[k] = False
+            wraps.clear()
+        named = bool(attributes.strip()) and not is_main and _names_furniture(attributes)
+        is_furniture = name not in ("html", "body") and (named or name in FURNITURE_TAGS) and not (name == "header" and nodes.main[node])
+        if is_main or is_furniture or name in HOLDERS:
+            node = nodes.add(node, is_furniture, is_main)
+            if name == "form" and is_furniture:
+                wraps.append(node)
         places.setdefault(name, []).append(len(open_tags))
-        open_tags.append((name, is_furniture, is_main))
-        furniture += is_furniture
-        main += is_main
+        open_tags.append((name, node))
         links += name == "a"
     flush()
-    return out
+    nodes.settle()
+    for b in out:
+        b.main, b.furniture = nodes.main[b.node], nodes.furniture[b.node]
+    return out, nodes
+
 
+def stop_words(text: str) -> int:
+    return sum(w in STOP_WORDS for w in _LETTERS.findall(text.lower()))
 
-def label(found: list[Block]) -> list[Block]:
-    """Sets each block's label to `good` or `bad`."""
+
+def decide(found: list[Block]) -> None:
+    """Pass one: labels the blocks that their words, links and mark-up decide; the others stay open.
+
+    Link density speaks first, then length and stop-word density together. Mark-up shifts the bar: nothing passes it in
+    furniture, and on a page with an article a block outside must be twice as long and dense in stop words.
+    """
     has_main = any(b.main and not b.furniture for b in found)
     for b in found:
-        density = sum(w in STOP_WORDS for w in re.findall(r"[^\W\d_]+", b.text.lower())) / b.words if b.words >= SHORT else 0
-        if b.furniture or has_main and not b.main:
-            b.label = "bad"
-        elif b.linked > LINKS * b.words and not (has_main and b.heading):
+        density = stop_words(b.text) / b.words if b.words >= SHORT else 0.0
+        if b.furniture:
             b.label = "bad"
+        elif b.linked > LINKS * b.words:
+            b.label = "" if b.main and b.heading else "bad"
+        elif has_main and not b.main:
+            b.label = "good" if b.words >= 2 * LONG and density >= STOP_HIGH else "bad"
         elif b.words >= LONG and density >= STOP_LOW or b.words >= SHORT and density >= STOP_HIGH:
             b.label = "good"
-        elif b.words >= LONG and not has_main:
-            b.label = "bad"
-        elif b.words >= SHORT and has_main:
+        elif b.words >= MASS and b.linked <= FEW_LINKS * b.words:
             b.label = "good"
-    _inherit(found, has_main)
-    return found
 
 
-def _inherit(found: list[Block], has_main: bool) -> None:
-    """Pass two: an open block takes the label that its nearest decided neighbours within the same part of the page share; the nearer one where they differ, good where they tie."""
-    size = len(found)
-    before: list[tuple[int, str]] = []
-    last = (-1, "")
+def inherit(found: list[Block], nodes: Nodes) -> None:
+    """Pass two: an open block takes the label of its nearest decided neighbours.
+
+    Neighbours are sought in the element around the block, then in the one around that, and so on; furniture is nobody's
+    neighbour. Where the two sides differ the nearer one counts, and the one that is good where they tie; a heading goes with what
+    follows it. Without any neighbour a block is good inside an article and bad elsewhere.
+    """
+    size = len(nodes.around)
+    first, last, near = [len(found)] * size, [-1] * size, [0] * size
+    decided = [k for k, b in enumerate(found) if b.label and not b.furniture]
+    for k in decided:
+        node = found[k].node
+        first[node], last[node] = min(first[node], k), max(last[node], k)
+    for node in range(size - 1, 0, -1):
+        around = nodes.around[node]
+        first[around], last[around] = min(first[around], first[node]), max(last[around], last[node])
+    for node in range(1, size):
+        near[node] = node if last[node] >= 0 else near[nodes.around[node]]
     for k, b in enumerate(found):
-        before.append(last)
-        if b.label and not (has_main and b.label == "bad"):
-            last = (k, b.label)
-    nearest_after = (size, "")
-    for k in range(size - 1, -1, -1):
-        b = found[k]
         if b.label:
-            if not (has_main and b.label == "bad"):
-                nearest_after = (k, b.label)
             continue
-        (p, was), (n, then) = before[k], nearest_after
-        if has_main:
-            b.label = "good"  # inside the article only links and furniture are decided against
-        elif b.heading:
-            b.label = then or was or "bad"
-        elif was == then or not then:
-            b.label = was or "bad"
-        elif not was:
-            b.label = then
-        else:
-            b.label = was if k - p < n - k else then if n - k < k - p else "good"
+        scope, at = near[b.node], bisect_left(decided, k)
+        before, after = decided[at - 1] if at else -1, decided[at] if at < len(decided) else len(found)
+        was = found[before].label if first[scope] <= before else ""
+        then = found[after].label if after <= last[scope] else ""
+        if b.main:  # what is outside of the article says nothing of the inside
+            was = was if was and found[before].main else ""
+            then = then if then and found[after].main else ""
+        b.label = _of_two(was, k - before, then, after - k, b.heading) or ("good" if b.main else "bad")
+
+
+def _of_two(was: str, back: int, then: str, ahead: int, heading: bool) -> str:
+    if was == then or not then:
+        return was
+    if not was or heading:
+        return then
+    return was if back < ahead else then if ahead < back else "good"
+
+
+def label(page: str) -> list[Block]:
+    """The page's blocks, each labelled `good` or `bad`."""
+    found, nodes = scan(page)
+    decide(found)
+    inherit(found, nodes)
+    return found
 
 
 def main_text(page: str) -> str:
-    return " ".join([b.text for b in label(blocks(page)) if b.label == "good"])
+    return " ".join([b.text for b in label(page) if b.label == "good"])
 
 
 EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])

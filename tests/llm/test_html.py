@@ -1,5 +1,6 @@
 import html as stdlib
 import re
+from collections import Counter
 
 import pytest
 
@@ -69,3 +70,41 @@ def test_no_reach(page, text):
 def test_quotes_stay_linear():
     for page in ("<p a='>'\"" * 60_000, "<p a='>" * 100_000, "<p a=\">'" * 60_000, "<div><span>" * 50_000 + "</p></div>" * 50_000):
         html.main_text(page)
+
+
+def test_words_decide_without_the_article_mark(spark):
+    """With the article's tag a plain div, at least 99 % of its words stay and no word of the furniture comes in."""
+    for folder in ("sf0.01", "sf0.1"):
+        lost = total = 0
+        for r in spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").collect():
+            page = re.sub(r"<(/?)article>", r"<\1div>", r["html"])
+            want, got = Counter(brute(r["html"]).split()), Counter(html.main_text(page).split())
+            assert not got - want, r["page_id"]
+            lost, total = lost + (want - got).total(), total + want.total()
+        assert lost <= 0.01 * total
+
+
+LIST = "<ul>" + "".join(f"<li><a href=/{k}>Topic number {k}</a></li>" for k in range(12)) + "</ul>"
+SHORT = "Not long."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Only words and links speak here: no tag or class says anything.
+        (f"<div>{LIST}</div><div><h1>On kinds of texts</h1><p>{PROSE * 2}</p><p>{SHORT}</p><p>{PROSE}</p></div><div>{LIST}</div>", f"On kinds of texts {(PROSE * 2).strip()} {SHORT} {PROSE.strip()}"),
+        (f"<div><p>{SHORT}</p></div>", ""),
+        (f"<div><p>{SHORT}</p><p>{PROSE * 2}</p></div>", f"{SHORT} {(PROSE * 2).strip()}"),
+        (f"<div>{LIST}<p>{SHORT}</p></div><div><p>{PROSE * 2}</p></div>", (PROSE * 2).strip()),
+        (f"<div><p>{'<a href=x>word</a> ' * 30}</p></div><div><p>{'tokio osaka kioto ' * 20}</p></div>", ("tokio osaka kioto " * 20).strip()),
+        # Inside an article link density still counts.
+        (f"<article><p>{PROSE * 2}</p><div>{LIST}</div></article>", (PROSE * 2).strip()),
+        # Prose outside of the article has to be long.
+        (f"<article><p>{SHORT}</p></article><div><p>{PROSE}</p></div>", SHORT),
+        (f"<article><p>{SHORT}</p></article><div><p>{PROSE * 4}</p></div>", f"{SHORT} {(PROSE * 4).strip()}"),
+        # A form around the whole page is no furniture.
+        (f"<form action=/><div class=menu>{LIST}</div><div><h1>Title</h1><p>{PROSE * 2}</p></div><form><p>{PROSE}</p></form></form>", f"Title {(PROSE * 2).strip()}"),
+    ],
+)
+def test_both_passes(page, text):
+    assert html.main_text(page) == text
