@@ -1,10 +1,12 @@
 """Operator 10: quality rules with risk-controlled thresholds.
 
-Each text gets counts; rules compare a rate with a cutoff. Cutoffs are learned on labelled holdouts, one for each rule and
-stratum: walking from the most lenient cutoff to stricter ones, a cutoff is safe while the exact binomial test rejects "more than
-`risk` of the good documents would fall to this rule" (fixed-sequence testing, so a walk spends its level once). The level and
-the risk are shared out over all rules and strata (Bonferroni), so with probability 1 - `level` no stratum loses more than
-`risk` of its good documents to the learned rules. Among safe cutoffs the one of most worth is taken, bad documents caught against
+Each text gets counts; rules compare a rate with a cutoff. Cutoffs are learned for each stratum on labelled documents, in two
+parts that the id's hash draws. One part lays a path: joint cutoffs of all rules, from lenient to strict, each set rejecting all
+that the one before it rejects. The other part, the holdout, tests the path: walking along it, a set of cutoffs is safe while
+the exact binomial test rejects "more than `risk` of the stratum's good documents would fall to any of its rules". A walk along a
+path that the holdout had no say in spends its level once (fixed-sequence testing), and the level is shared out over the strata
+that have enough good documents to pass at all (Bonferroni), so with probability 1 - `level` no stratum loses more than `risk` of its
+good documents to the learned rules. Among a stratum's safe sets the one of most worth is taken, bad documents caught against
 good ones lost.
 """
 
@@ -38,7 +40,10 @@ RULES = {
 STEPS = 200
 #: Most good documents, as a part, that all learned rules together may reject in a stratum; and the chance that this fails somewhere.
 RISK, LEVEL = 0.05, 0.05
-#: Among safe cutoffs a good document lost weighs as much as so many bad ones; a rule must gain more than this part of the bad ones.
+#: One labelled id in so many lays the paths, and what parts of the good documents a rule may cost at the points of a path.
+PATH_PART = 3
+ALLOWED = (0.0, 0.001, 0.002, 0.005, 0.01, 0.015, 0.02, 0.03, 0.04)
+#: Among safe sets of cutoffs a good document lost weighs as much as so many bad ones; a rule must gain more than this part of the bad ones.
 DEAR, LEAST_CAUGHT = 10.0, 0.01
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_exclaims", "n_echoes", "n_lines")
@@ -110,40 +115,111 @@ def tail_below(k: int, n: int, p: float) -> float:
     return min(1.0, math.fsum(math.exp(log - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)))
 
 
-def pick_cutoff(good: list[int], bad: list[int], risk: float, level: float) -> int | None:
-    """The step above which a rule rejects, from counts of good and bad documents by step; None: no safe or useful cutoff."""
-    n, junk, lost, caught, best = sum(good), max(1, sum(bad)), 0, 0, (LEAST_CAUGHT, None)
-    for step in range(len(good) - 1, 0, -1):
-        lost += good[step]
-        caught += bad[step]
+def least_good(risk: float, level: float) -> int:
+    """Good documents below which not even a loss of none passes the test."""
+    return math.ceil(math.log(level) / math.log1p(-risk))
+
+
+def lay_path(good: dict[str, list[int]], bad: dict[str, list[int]]) -> list[dict[str, int]]:
+    """Joint cutoffs (rule to step; a rule without one rejects nothing) from lenient to strict, from histograms of each rule's steps.
+
+    A rule's cutoff at an allowance is the strictest step at which no larger part of the good documents falls to that rule; before
+    the first such set come some between it and 1. A rule joins, for good, where it catches more than LEAST_CAUGHT of the bad documents and
+    the best of those already there leaves as many.
+    """
+    junk = max(1, max((sum(h) for h in bad.values()), default=0))
+
+    def step(rule: str, allowed: float) -> int:
+        most, lost, at = allowed * max(1, sum(good[rule])), 0, STEPS
+        while at > 1 and (lost := lost + good[rule][at - 1]) <= most:
+            at -= 1
+        return at
+
+    def caught(rule: str, at: int) -> int:
+        return sum(bad[rule][at:])
+
+    path: list[dict[str, int]] = []
+    chosen: list[str] = []
+    for allowed in ALLOWED:
+        at = {r: step(r, allowed) for r in good}
+        for rule in sorted(good, key=lambda r: -caught(r, at[r])):
+            left = junk - max((caught(r, at[r]) for r in chosen), default=0)
+            if rule not in chosen and left > LEAST_CAUGHT * junk < caught(rule, at[rule]):
+                chosen.append(rule)
+        if not path and chosen:
+            path += [{r: at[r] + (STEPS - at[r]) * k // 4 for r in chosen} for k in (3, 2, 1)]
+        path.append({r: at[r] for r in chosen})
+    return [cutoffs for k, cutoffs in enumerate(path) if cutoffs and (k == 0 or cutoffs != path[k - 1])]
+
+
+def safe_sets(good: list[int], risk: float, level: float) -> int:
+    """How many sets of a path are safe, from the holdout's good documents by the first set that rejects them; the last entry is of those that none does."""
+    n, lost = sum(good), 0
+    for k in range(len(good) - 1):
+        lost += good[k]
         if tail_below(lost, n, risk) > level:
-            break
-        if (worth := caught / junk - DEAR * lost / max(1, n)) > best[0]:
-            best = (worth, step)
+            return k
+    return len(good) - 1
+
+
+def pick_set(good: list[int], bad: list[int], risk: float, level: float) -> int | None:
+    """The safe set of most worth; None: none is safe and useful."""
+    best = (LEAST_CAUGHT, None)
+    lost = caught = 0
+    for k in range(safe_sets(good, risk, level)):
+        lost, caught = lost + good[k], caught + bad[k]
+        if (worth := caught / max(1, sum(bad)) - DEAR * lost / max(1, sum(good))) > best[0]:
+            best = (worth, k)
     return best[1]
 
 
-def learn(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, label_id: str = "doc_id", label: str = "quality") -> list[tuple[str, str, float]]:
+def shares(sizes: list[int], risk: float, level: float) -> float:
+    """The level of one stratum: shared out over those with enough good documents in the holdout, by these sizes alone."""
+    count = len(sizes)
+    while count > 1 and sum(n >= least_good(risk, level / count) for n in sizes) < count:
+        count -= 1
+    return level / max(1, count)
+
+
+def steps_of() -> Column:
+    """The step of each rule's rate, in the order of RULES."""
+    return F.array(*(F.least(F.floor(rate(rule) * STEPS), F.lit(STEPS - 1)).cast("int") for rule in RULES))
+
+
+def learn(
+    measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, label_id: str = "doc_id", label: str = "quality"
+) -> list[tuple[str, str, float]]:
     """(stratum, rule, cutoff) learned on the labelled rows; a row is rejected at a rate of at least the cutoff.
 
-    All labelled rows that pass the base rule count; what comes to the driver is a histogram of STEPS steps for each rule,
-    stratum and label, whatever the size of the tables. A label that is null or not 0 or 1, or that contradicts another
-    one of the same id, takes no part.
+    All labelled rows that pass the base rule count, a third of the ids for the paths and the rest for the tests. What comes to the driver are
+    histograms of STEPS steps for each rule, stratum and label, and of the sets of each path, whatever the size of the tables. A
+    label that is null or not 0 or 1, or that contradicts another one of the same id, takes no part.
     """
-    marks = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
-    seen = measured.where(~base_failed()).join(marks, "id")
-    steps = F.array(*(F.struct(F.lit(rule).alias("rule"), F.least(F.floor(rate(rule) * STEPS), F.lit(STEPS - 1)).cast("int").alias("step")) for rule in RULES))
-    histogram = seen.select("stratum", "label", F.explode(steps).alias("at")).groupBy("stratum", "label", "at.rule", "at.step").count()
-    by: dict[tuple[str, str], list[list[int]]] = {}
-    strata = set()
+    rules = list(RULES)
+    marks = labels.select(F.col(label_id).cast("long").alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1))
+    marks = marks.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most")
+    lays = (F.crc32(F.col("id").cast("string").cast("binary")) % PATH_PART == 0).alias("lays")
+    seen = settle(measured.where(~base_failed()).join(marks, "id").select("stratum", "label", lays, steps_of().alias("steps")))
+    histogram = seen.where("lays").select("stratum", "label", F.posexplode("steps").alias("rule", "step")).groupBy("stratum", "label", "rule", "step").count()
+    by: dict[str, tuple[dict, dict]] = {}
     for r in histogram.collect():
-        strata.add(r["stratum"])
-        by.setdefault((r["stratum"], r["rule"]), [[0] * STEPS, [0] * STEPS])[r["label"]][r["step"]] += r["count"]
+        of = by.setdefault(r["stratum"], tuple({rule: [0] * STEPS for rule in rules} for _ in range(2)))
+        of[r["label"]][rules[r["rule"]]][r["step"]] += r["count"]
+    paths = {stratum: path for stratum, (bad, good) in sorted(by.items()) if (path := lay_path(good, bad))}
+    if not paths:
+        return []
+    # For each rule and step the first set of the path that rejects it: a small table, whose size the strata give.
+    rows = [(s, [[next((k for k, c in enumerate(path) if c.get(rule, STEPS) <= step), len(path)) for step in range(STEPS)] for rule in rules]) for s, path in paths.items()]
+    first = seen.sparkSession.createDataFrame(rows, "stratum string, first array<array<int>>")
+    at = F.array_min(F.zip_with("first", "steps", lambda of, step: F.get(of, step))).alias("at")
+    counted: dict[str, list[list[int]]] = {s: [[0] * (len(path) + 1) for _ in range(2)] for s, path in paths.items()}
+    for r in seen.where("not lays").join(first, "stratum").select("stratum", "label", at).groupBy("stratum", "label", "at").count().collect():
+        counted[r["stratum"]][r["label"]][r["at"]] += r["count"]
+    share = shares([sum(good) for _, good in counted.values()], risk, level)
     out = []
-    for (stratum, rule), (bad, good) in sorted(by.items()):
-        step = pick_cutoff(good, bad, risk / len(RULES), level / (len(RULES) * len(strata)))
-        if step is not None:
-            out.append((stratum, rule, step / STEPS))
+    for stratum, (bad, good) in counted.items():
+        if (k := pick_set(good, bad, risk, share)) is not None:
+            out += [(stratum, rule, step / STEPS) for rule, step in sorted(paths[stratum][k].items())]
     return out
 
 

@@ -1,6 +1,9 @@
+import math
 import random
 import re
+import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,19 +31,103 @@ def test_exact_tail():
     assert quality.tail_below(5, 5, 0.1) == 1.0
 
 
-def test_cutoffs_are_safe():
-    """Over many draws the share of unsafe cutoffs stays below the level."""
-    rng, unsafe = random.Random(7), 0
-    for _ in range(200):
-        good, bad = [0] * 20, [0] * 20
-        for _ in range(600):
-            good[min(19, int(rng.random() ** 3 * 20))] += 1
-        for _ in range(200):
-            bad[10 + int(rng.random() * 10)] += 1
-        step = quality.pick_cutoff(good, bad, 0.1, 0.05)
-        truth = 1 - (step / 20) ** (1 / 3) if step is not None else 0
-        unsafe += truth > 0.1
-    assert unsafe <= 200 * 0.05 + 10
+def test_guarantee_holds_over_all_strata():
+    """Over many draws of labels, the chance that the strictest set called safe costs any stratum more than the risk stays below the level."""
+    rng, broken, learned, draws, risk, level = random.Random(7), 0, 0, 300, 0.1, 0.2
+    steps, rules = quality.STEPS, ["a", "b", "c"]
+    power = {"a": 8, "b": 12, "c": 20}
+
+    def document(bad):
+        return {r: min(steps - 1, int((rng.random() ** (1.5 if bad else power[r])) * steps)) for r in rules}
+
+    for _ in range(draws):
+        wrong = False
+        holdouts = []
+        for _ in range(3):
+            hists = [{r: [0] * steps for r in rules} for _ in range(2)]
+            for bad, n in ((0, 150), (1, 60)):
+                for _ in range(n):
+                    for r, at in document(bad).items():
+                        hists[bad][r][at] += 1
+            path = quality.lay_path(*hists)
+            assert all(path[k][r] >= path[k + 1][r] for k in range(len(path) - 1) for r in path[k])
+            good = [0] * (len(path) + 1)
+            for _ in range(150):
+                at = document(0)
+                good[next((k for k, c in enumerate(path) if any(at[r] >= x for r, x in c.items())), len(path))] += 1
+            holdouts.append((path, good))
+        share = quality.shares([sum(good) for _, good in holdouts], risk, level)
+        for path, good in holdouts:
+            safe = quality.safe_sets(good, risk, share)
+            learned += safe > 0
+            if safe:
+                kept = 1.0
+                for r, at in path[safe - 1].items():
+                    kept *= (at / steps) ** (1 / power[r])
+                wrong |= 1 - kept > risk
+        broken += wrong
+    assert learned > draws
+    assert broken <= draws * level + 2.5 * (draws * level) ** 0.5
+
+
+def test_share_goes_to_strata_that_can_pass():
+    assert quality.least_good(0.05, 0.05) == 59
+    assert quality.shares([1000, 58, 3], 0.05, 0.05) == 0.05
+    assert quality.shares([1000, 500, 3], 0.05, 0.05) == 0.025
+    assert quality.shares([], 0.05, 0.05) == 0.05
+    assert quality.safe_sets([0, 0, 58], 0.05, 0.05) == 0
+    assert quality.safe_sets([0, 0, 59], 0.05, 0.05) == 2
+
+
+def by_hand(docs, marks):
+    """The kept ids, from single documents instead of histograms."""
+    seen = {}
+    for key, text, lang in docs:
+        n = dict(zip(quality.COUNTS, quality.counts(text.encode()), strict=True))
+        failed = n["n_words"] < 10 or 100 * n["n_repeat_words"] > 20 * n["n_words"]
+        seen[key] = lang, failed, {r: math.floor((n[x] / n[y] if n[y] else 0) * 200) for r, (x, y) in quality.RULES.items()}
+    parts = {}
+    for key, y in marks.items():
+        lang, failed, at = seen[key]
+        if not failed:
+            parts.setdefault(lang, {}).setdefault((zlib.crc32(str(key).encode()) % 3 == 0, y), []).append(at)
+    paths = {}
+    for lang, part in parts.items():
+        good, bad, path, used = part.get((True, 1), []), part.get((True, 0), []), [], []
+        for allowed in quality.ALLOWED:
+            cut = {r: min(c for c in range(1, 201) if sum(d[r] >= c for d in good) <= allowed * max(1, len(good))) for r in quality.RULES}
+            hits = {r: sum(d[r] >= cut[r] for d in bad) for r in cut}
+            for r in sorted(cut, key=lambda r: -hits[r]):
+                if r not in used and hits[r] > 0.01 * max(1, len(bad)) and max(1, len(bad)) - max((hits[x] for x in used), default=0) > 0.01 * max(1, len(bad)):
+                    used.append(r)
+            if used and not path:
+                path = [{r: cut[r] + (200 - cut[r]) * k // 4 for r in used} for k in (3, 2, 1)]
+            if used:
+                path.append({r: cut[r] for r in used})
+        if path:
+            paths[lang] = [c for k, c in enumerate(path) if not k or c != path[k - 1]]
+    enough = lambda k: sum(0.95 ** len(parts[x].get((False, 1), [])) <= 0.05 / k for x in paths)
+    k = next((k for k in range(len(paths), 0, -1) if enough(k) == k), 1)
+    cutoffs = {}
+    for lang, path in paths.items():
+        good, bad, best = parts[lang].get((False, 1), []), parts[lang].get((False, 0), []), 0.01
+        for c in path:
+            lost, caught = (sum(any(d[r] >= x for r, x in c.items()) for d in group) for group in (good, bad))
+            if sum(math.comb(len(good), i) * 0.05**i * 0.95 ** (len(good) - i) for i in range(lost + 1)) > 0.05 / k:
+                break
+            if (worth := caught / max(1, len(bad)) - 10 * lost / max(1, len(good))) > best:
+                best, cutoffs[lang] = worth, c
+    return {key for key, (lang, failed, at) in seen.items() if not failed and not any(at[r] >= x for r, x in cutoffs.get(lang, {}).items())}, cutoffs
+
+
+@pytest.mark.parametrize("folder, strata", [("sf0.001", set()), ("sf0.01", {"en"}), ("sf0.1", {"de", "en", "es", "fr"})])
+def test_kept_is_what_single_documents_give(spark, folder, strata):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    labels = spark.read.parquet(f"/root/testdata/{folder}/labels.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    want, cutoffs = by_hand(rows, {r["doc_id"]: r["quality"] for r in labels.collect()})
+    assert set(cutoffs) == strata
+    assert {r["id"] for r in quality.judge(docs, labels).where("kept").collect()} == want
 
 
 def test_judge_keeps_good_and_rejects_junk(spark):
