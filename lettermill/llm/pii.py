@@ -7,8 +7,10 @@ plus signs. The same patterns then run over the normalised text; what they find
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +29,6 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DIGIT_BYTES = bytes(b"x"[0] if 48 <= b <= 57 else b for b in range(256))
 
 
 def luhn(digits: str) -> bool:
@@ -101,6 +102,7 @@ AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "arroba", "arobase", "ät"), ("dot", "p
 LAST_LABELS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "de", "fr", "es", "uk", "us", "eu", "ch", "at", "example", "test")
 
 
+@functools.cache
 def _looks_like(char: str) -> str | None:
     """What a character stands for in an identifier; None: itself."""
     if char < "\x7f":
@@ -157,28 +159,55 @@ _DIGIT_WORD = rf"(?:{_alternatives(SPELLED)})"
 _WORDS = re.compile(r"[^\W_]+")
 _DIGIT_TOKEN = re.compile(rf"(?<![^\W_])(?:{_DIGIT_WORD}|[0-9])(?![^\W_])", re.IGNORECASE)
 _DIGIT_GAP = re.compile(r"[\x20,.-]{1,2}")
-_SIGN_BEFORE = re.compile(rf"(?:(?<![^\W_])(?:{_alternatives((*DOT_WORDS, *PLUS_WORDS))})[\s\])}}]*|\+\s?\(?|[\[({{]\s*\.\s*[\])}}]\s*|[0-9][\x20,.-]{{1,2}})$", re.IGNORECASE)
-_SIGN_AFTER = re.compile(rf"\s*[\[({{]?\s*(?:{_alternatives(DOT_WORDS)})(?![^\W_])|\s*[\[({{]\s*\.\s*[\])}}]|[\x20,.-]{{1,2}}[0-9]", re.IGNORECASE)
 _BETWEEN_DIGITS = re.compile(rf"(?<=[0-9])\s*(?:\[\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\]|\(\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\)|\{{\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\}}|(?<=\s)(?:{_alternatives(DOT_WORDS)})(?=\s))\s*(?=[0-9])", re.IGNORECASE)
 _PLUS = re.compile(rf"(?<![^\W_])(?:{_alternatives(PLUS_WORDS)})\s+(?=[0-9])|\(\s*(?:{_alternatives(PLUS_WORDS)})\s*\)\s*(?=[0-9])", re.IGNORECASE)
 _LETTER_DIGIT = re.compile(r"(?<=[0-9])[OoIl|](?=[0-9]|[\x20.-][0-9]{2})|(?<=[0-9][\x20.-])[OoIl|](?=[0-9]{2})")
-_AT = re.compile(rf"\s*(?:\[\s*(?:{_alternatives(AT_WORDS)}|@)\s*\]|\(\s*(?:{_alternatives(AT_WORDS)}|@)\s*\)|\{{\s*(?:{_alternatives(AT_WORDS)}|@)\s*\}}|<\s*(?:{_alternatives(AT_WORDS)})\s*>)\s*|\s+(?:{_alternatives(AT_WORDS)})\s+|\s*@\s*", re.IGNORECASE)
-_DOT = rf"(?:\s*(?:\[\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\]|\(\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\)|\{{\s*(?:{_alternatives(DOT_WORDS)}|\.)\s*\}})\s*|\s+(?:{_alternatives(DOT_WORDS)})\s+)"
-_BEFORE_AT = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*$", re.IGNORECASE)
-_AFTER_AT = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
-_ANY_DOT = re.compile(_DOT, re.IGNORECASE)
-#: How far before an at sign a disguised local part may begin.
-_REACH = 96
-#: Any of these can begin a disguise of an address; a bare word for the at sign alone needs a disguised dot or a known last label.
-_DISGUISED_AT = re.compile(rf"[\[({{<]\s*(?:{_alternatives(AT_WORDS)}|@)\s*[\])}}>]|\s@|@\s|\s(?:{_alternatives(AT_WORDS)})\s+[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]|{_DOT})|@[A-Za-z0-9-]+{_DOT}|{_DOT}[A-Za-z0-9_%+-]+@", re.IGNORECASE)
-_STRANGE = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "٠-٩۰-۹०-९！-～  -   　①-⑨\U0001d400-\U0001d7ff" + "]")
+_SIGNS = re.compile(
+    rf"[\[({{<]\s*(?:(?P<at>{_alternatives(AT_WORDS)}|@)|(?P<dot>{_alternatives(DOT_WORDS)}|\.))\s*[\])}}>]"
+    rf"|(?<=\s)(?:(?P<at_word>{_alternatives(AT_WORDS)})|(?P<dot_word>{_alternatives(DOT_WORDS)}))(?=\s)|(?P<plain>@)",
+    re.IGNORECASE,
+)
+#: One of these is in every text with a disguised address.
+_MAY_HIDE = re.compile(rf"[\[({{<]\s*(?:{_alternatives((*AT_WORDS, *DOT_WORDS))}|[@.])\s*[\])}}>]|\s@|@\s|\s(?:{_alternatives((*AT_WORDS, *DOT_WORDS))})\s", re.IGNORECASE)
+_CLOSES = {"[": "]", "(": ")", "{": "}", "<": ">"}
+_HOST_CHARS = _LOCAL_CHARS - frozenset("._%+")
+_PIECE_CHARS = _LOCAL_CHARS - frozenset(".")
 
 
 def lookalikes(mapped: Mapped) -> Mapped:
     """Transducer of look-alike, wide and invisible characters."""
-    if mapped.text.isascii() or not _STRANGE.search(mapped.text):
+    if mapped.text.isascii():
         return mapped
-    return mapped.rewritten([(m.start(), m.end(), put) for m in _STRANGE.finditer(mapped.text) if (put := _looks_like(m[0])) is not None])
+    strange = [c for c in set(mapped.text) if c > "\x7e" and _looks_like(c) is not None]
+    if not strange:
+        return mapped
+    found = re.finditer("[" + "".join(map(re.escape, strange)) + "]", mapped.text)
+    return mapped.rewritten([(m.start(), m.end(), _looks_like(m[0])) for m in found])
+
+
+_SIGN_WORDS = frozenset((*DOT_WORDS, *PLUS_WORDS))
+_LONGEST_SIGN = max(map(len, _SIGN_WORDS))
+_DIGIT_AND_GAP = re.compile(r"[0-9][\x20,.-]{1,2}$|\+\s?\(?$")
+_SIGN_AFTER = re.compile(
+    rf"\s*(?:[\[({{]\s*)?(?:{_alternatives(DOT_WORDS)})(?![^\W_])|\s*[\[({{]\s*\.\s*[\])}}]|[\x20,.-]{{1,2}}[0-9]", re.IGNORECASE
+)
+
+
+def _sign_before(text: str, at: int) -> bool:
+    """Whether a sign of numbers ends at `at`: a digit with a gap, a plus sign, a word for dot or plus, or a dot in brackets."""
+    if _DIGIT_AND_GAP.search(text[max(0, at - 3) : at]):
+        return True
+    while at and (text[at - 1].isspace() or text[at - 1] in "])}"):
+        at -= 1
+    if at and text[at - 1] == ".":
+        at -= 1
+        while at and text[at - 1].isspace():
+            at -= 1
+        return at > 0 and text[at - 1] in "[({"
+    start = at
+    while start and at - start <= _LONGEST_SIGN and text[start - 1].isalnum():
+        start -= 1
+    return text[start:at].lower() in _SIGN_WORDS
 
 
 def spelled_digits(mapped: Mapped, dots: bool = False) -> Mapped:
@@ -194,7 +223,7 @@ def spelled_digits(mapped: Mapped, dots: bool = False) -> Mapped:
         if all(digit is None for *_, digit in run):
             continue
         first, last = run[0][0], run[-1][1]
-        if len(run) == 1 and not _SIGN_BEFORE.search(text[max(0, first - 16) : first]) and not _SIGN_AFTER.match(text, last):
+        if len(run) == 1 and not _sign_before(text, first) and not _SIGN_AFTER.match(text, last):
             continue
         for k, (a, b, digit) in enumerate(run):
             if k:
@@ -215,41 +244,120 @@ def signs_in_numbers(mapped: Mapped) -> Mapped:
     return mapped.rewritten([(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in _LETTER_DIGIT.finditer(mapped.text)])
 
 
+class _Sign:
+    """A sign for at or dot, with the white space around it: where it is, whether it is a word on its own, and whether it is a plain @."""
+
+    __slots__ = ("start", "end", "at", "word", "plain")
+
+    def __init__(self, start: int, end: int, at: bool, word: bool, plain: bool):
+        self.start, self.end, self.at, self.word, self.plain = start, end, at, word, plain
+
+
+def _signs(text: str) -> list[_Sign]:
+    """The signs of a text. White space between two of them belongs to both, so that each run of it is read twice at most."""
+    out = []
+    for m in _SIGNS.finditer(text):
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        if kind in ("at", "dot") and _CLOSES[text[start]] != text[end - 1]:
+            continue
+        while start and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        out.append(_Sign(start, end, kind not in ("dot", "dot_word"), kind.endswith("word"), end - start == 1))
+    return out
+
+
+def _host(text: str, at: int, dots: dict[int, _Sign], barred: set[int]) -> tuple[list[str], list[int], bool]:
+    """Labels of a host that begins at `at`, where each ends, and whether a dot between them is disguised."""
+    labels, ends, hidden, by_sign = [], [], False, False
+    while True:
+        end = at
+        while end < len(text) and text[end] in _HOST_CHARS:
+            end += 1
+        if end == at or at in barred and not by_sign:
+            break
+        labels.append(text[at:end])
+        ends.append(end)
+        hidden |= by_sign
+        if at in barred:
+            break  # a last label that is a word for a sign, such as that of Austria
+        by_sign = end in dots
+        if not by_sign and text[end : end + 1] != ".":
+            break
+        at = dots[end].end if by_sign else end + 1
+    return labels, ends, hidden
+
+
+def _local(text: str, end: int, free: int, dots: dict[int, _Sign], barred: set[int]) -> tuple[int, bool]:
+    """Where a local part that ends at `end` begins, and whether a dot within is disguised; `end` itself: there is none."""
+    first, hidden, by_sign = end, False, False
+    while True:
+        start = end
+        while start > free and text[start - 1] in _PIECE_CHARS:
+            start -= 1
+        if start == end or start in barred:
+            break
+        first = start
+        hidden |= by_sign
+        by_sign = start in dots and dots[start].start > free
+        if not by_sign and (start <= free or text[start - 1] != "."):
+            break
+        end = dots[start].start if by_sign else start - 1
+    return first, hidden
+
+
 def disguised_emails(mapped: Mapped) -> list[tuple[int, int]]:
-    """Source spans of addresses whose at sign or dots are disguised."""
+    """Source spans of addresses whose at sign or dots are disguised.
+
+    Each address is read from its at sign outwards, to both sides as far as its characters and signs reach and no further than
+    the next at sign, so that a text is read a bounded number of times whatever it holds.
+    """
     text, out, free = mapped.text, [], 0
-    if not _DISGUISED_AT.search(text):
+    signs = _signs(text)
+    if not any(s.at for s in signs):
         return out
-    for m in _AT.finditer(text):
-        if m.start() < free:
+    before = {s.end: s for s in signs if not s.at}
+    after = {s.start: s for s in signs if not s.at}
+    barred = set()
+    for s in signs:
+        if s.word:
+            at = s.start
+            while text[at].isspace():
+                at += 1
+            barred.add(at)
+    for sign in signs:
+        if not sign.at or sign.start < free:
             continue
-        reach = max(free, m.start() - _REACH)
-        before, after = _BEFORE_AT.search(text[reach : m.start()]), _AFTER_AT.match(text, m.end())
-        if not before or not after or after.end() < len(text) and text[after.end()] == "@":
+        labels, ends, hidden = _host(text, sign.end, after, barred)
+        if len(labels) < 2 or ends[-1] < len(text) and text[ends[-1]] == "@":
             continue
-        host = _ANY_DOT.sub(".", after[0])
-        labels = host.split(".")
-        bare = m[0].strip().isalpha()
-        hidden = host != after[0]
-        local = before[0]
-        while bare and not hidden and labels and labels[-1].lower() not in LAST_LABELS:
+        while sign.word and not hidden and labels and labels[-1].lower() not in LAST_LABELS:
             labels.pop()  # a sentence may go on behind the address without a space
         if len(labels) < 2 or not labels[-1].isalpha() or len(labels[-1]) < 2:
             continue
-        local_start = reach + before.start()
-        if bare and _ANY_DOT.search(local) is None:
-            local_start = m.start() - len(re.search(r"\S+$", local)[0])
-        end = after.end() if hidden else m.end() + len(".".join(labels))
-        if m[0] == "@" and not hidden and _ANY_DOT.search(text[local_start : m.start()]) is None and not any(mapped.new[local_start:end]):
-            continue  # plain
-        out.append(mapped.source(local_start, end))
+        start, dotted = _local(text, sign.start, free, before, barred)
+        end = ends[len(labels) - 1]
+        if start == sign.start or sign.plain and not hidden and not dotted and not any(mapped.new[start:end]):
+            continue  # nothing, or plain
+        out.append(mapped.source(start, end))
         free = end
     return out
 
 
+def _free_of(span: Span, base: list[Span]) -> bool:
+    """Whether a span touches none of the spans of its kind, which are in order and apart, or holds those that it touches."""
+    k = bisect_left(base, span[0], key=lambda s: s[1])
+    while k < len(base) and base[k][0] < span[1]:
+        if base[k][1] > span[0] and not (span[0] <= base[k][0] and base[k][1] <= span[1] and base[k][:2] != span[:2]):
+            return False
+        k += 1
+    return True
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """What the method finds beyond the base spans: identifiers with at least one rewritten character, none overlapping a base span of its kind."""
-    mapped = lookalikes(Mapped.of(text)) if not text.isascii() and _STRANGE.search(text) else None
+    """What the method finds beyond the base spans: identifiers with at least one rewritten character; one that meets a base span of its kind holds it whole."""
+    mapped = lookalikes(Mapped.of(text)) if not text.isascii() and any(c > "\x7e" and _looks_like(c) is not None for c in set(text)) else None
     read = mapped.text if mapped else text
     low = read.lower()
     readings = [mapped] if mapped else []
@@ -258,19 +366,23 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         spelled = [spelled_digits(whole), spelled_digits(whole, dots=True)]
         if spelled[0] is not whole:
             readings = spelled[: 1 + (spelled[0].text != spelled[1].text)]
-    if any(w in low for w in (*DOT_WORDS, *PLUS_WORDS)) or any(_BETWEEN_DIGITS.search(t) or _LETTER_DIGIT.search(t) for t in (r.text for r in readings) if t) or not readings and (_BETWEEN_DIGITS.search(read) or _LETTER_DIGIT.search(read)):
+    signs = any(w in low for w in _SIGN_WORDS)
+    if signs or any(_BETWEEN_DIGITS.search(r) or _LETTER_DIGIT.search(r) for r in ([r.text for r in readings] or [read])):
         readings = [signs_in_numbers(r) for r in readings or [Mapped.of(text)]]
     found: list[Span] = []
     for numbers in readings:
         for a, b, kind in plain_spans(numbers.text):
             if any(numbers.new[a:b]):
                 found.append((*numbers.source(a, b), kind))
-    if _DISGUISED_AT.search(read):
+    if _MAY_HIDE.search(read):
         found += [(a, b, "email") for a, b in disguised_emails(mapped or Mapped.of(text))]
+    by = {kind: sorted(s for s in base if s[2] == kind) for kind in KINDS}
     out: list[Span] = []
+    ends = dict.fromkeys(KINDS, 0)
     for span in sorted(set(found), key=lambda s: (s[0], -s[1])):
-        if not any(k == span[2] and a < span[1] and span[0] < b for a, b, k in base) and not any(k == span[2] and span[0] < b for a, b, k in out[-4:]):
+        if span[0] >= ends[span[2]] and _free_of(span, by[span[2]]):
             out.append(span)
+            ends[span[2]] = span[1]
     return out
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -109,3 +110,51 @@ def test_rows(spark):
 def test_few_spelled_digits(text, kind, part):
     base = pii.in_order(pii.plain_spans(text))
     assert [text[a:b] for a, b, k in pii.added_spans(text, base) if k == kind] == [part]
+
+
+LONG = "x" * 150
+
+
+@pytest.mark.parametrize(
+    "text, part",
+    [
+        (f"to {LONG} [at] mail dot example dot org now", f"{LONG} [at] mail dot example dot org"),
+        (f"to {'a dot ' * 200}b at c dot de.", f"{'a dot ' * 200}b at c dot de"),
+        ("to jane at" + " " * 5000 + "example dot com now", "jane at" + " " * 5000 + "example dot com"),
+        ("to jane [ at ] beispiel [.] at bitte", "jane [ at ] beispiel [.] at"),
+        ("to jane at beispiel dot at bitte", "jane at beispiel dot at"),
+        ("to john [dot] doe@example.com now", "john [dot] doe@example.com"),
+        ("to jane@example.com [dot] au now", "jane@example.com [dot] au"),
+        ("a at b.com, c at d.org and e at f dot g dot net", "e at f dot g dot net"),
+        ("to jane (at] example (dot) com", None),
+        ("to jane ⓐⓣ example.com or j\u0430ne@ex\u0430mple.com", "j\u0430ne@ex\u0430mple.com"),
+    ],
+)
+def test_disguised_addresses_are_whole(text, part):
+    base = pii.in_order(pii.plain_spans(text))
+    got = [text[a:b] for a, b, k in pii.added_spans(text, base) if k == "email"]
+    assert part in got if part else got == []
+
+
+@pytest.mark.parametrize("digits", ["१९२.१६८.१.१०", "১৯২.168.1.10", "𝟏𝟗𝟐.168.1.10", "①⑨②.168.1.10", "¹92.168.1.10"])
+def test_digits_of_all_scripts(digits):
+    assert pii.added_spans(f"x {digits} y", []) == [(2, 2 + len(digits), "ip")]
+
+
+def test_what_holds_a_plain_address_is_added_and_the_plain_one_stays():
+    text = "to john [dot] doe@example.com now"
+    assert pii.plain_spans(text) == [(14, 29, "email")]
+    assert pii.added_spans(text, pii.plain_spans(text)) == [(3, 29, "email")]
+    assert pii.redact_text(text) == "to [EMAIL] now"
+
+
+@pytest.mark.parametrize(
+    "piece",
+    [" ", "[", "[ ", "7", "7 ", "one ", "one" + " " * 400, " at ", "at dot ", " dot ", "a dot ", "a at a dot ", "a.", "@", "a@", " @ ", "a [dot] ", "(at)", "a(at)b.", "plus ", "1 (", "1.", "+1(", "1[", "+", "1  dot ", "\u0661", "one.", "7 dot"],
+)
+def test_time_is_linear(piece):
+    for head, tail in (("", ""), ("one", "x"), ("a at", ""), ("x@", "dot"), ("", " at b.com")):
+        text = head + (piece * (200_000 // len(piece) + 1))[:200_000] + tail
+        began = time.process_time()
+        pii.added_spans(text, pii.in_order(pii.plain_spans(text)))
+        assert time.process_time() - began < 2.5, (head, tail)
