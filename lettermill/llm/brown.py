@@ -1,39 +1,46 @@
 """Operator 6: language-model scores by class-based n-grams.
 
 Words fall into classes; the chance of a token is that of its class after the class before it, times that of the word within
-its class. Classes come from exchange clustering in two steps. First the most frequent words, and groups of all other words by their
-ending, are moved one at a time to the class that raises the likelihood of the class bigrams most; the table for that is
-bounded by its side. Then sweeps over the corpus count, for each of the HOT words by itself, the classes before and after it, and
-take it to its best class by these, as long as the likelihood of the class bigrams rises. Every word of the corpus has its own
-count and its own emission. Emissions give up a discount for words never seen in training; transitions back off to class frequencies.
-
-Counts of all training words stay distributed. Only the words above a count that at most HOT words reach, a bounded number, go
-to every task; a text's other words are looked up by a join.
+its class. Classes come from exchange clustering in two tiers. The SEEDS most frequent words are moved one at a time to the
+class that raises the likelihood of the class bigrams most, until no move helps, on one table whose side is fixed. Then every
+word of the training corpus, however rare, is offered every class: a sweep over the corpus gives each word its counts of classes
+before and after it, and rounds over these counts take all words to the class in which their neighbours are likeliest and work
+out the classes' tables anew, as long as the likelihood rises. The next sweep counts by the classes found; it is kept only if the
+class bigrams of the corpus get likelier.
+
+Transitions back off to class frequencies. Each word gives up a discount of its class for the one type that stands for all words
+never seen; it may come from any class, so that a text with such words is scored by a forward pass over classes.
+
+All counts of words, and the classes of words, stay distributed. Only the words above a count that at most HOT words reach go to
+every task, with their classes; the classes of others are looked up by a join. Texts are read twice, to count words and to write
+them as numbers; all else reads the numbers.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import batches_of, rows_of, settle
+from lettermill.llm.common import Folder, batches_of, release, rows_of
 
-#: Words that every task may hold, words clustered one by one, endings that group all others, classes, and most rounds of exchange.
-HOT, SINGLE, ENDINGS, CLASSES, ROUNDS = 200_000, 600, 200, 48, 12
-#: Most sweeps of all hot words, and the least rise of the likelihood, as a part of it, for another one.
-SWEEPS, RISE = 3, 0.0005
+#: Words that every task may hold, words clustered one by one, and classes.
+HOT, SEEDS, CLASSES = 200_000, 600, 48
+#: Most sweeps over the corpus and most rounds over one sweep's counts, and the least rise of the likelihood, as a part of it, for another sweep and round.
+SWEEPS, ROUNDS, RISE, RISE_OF_ROUND = 4, 30, 0.003, 0.0005
 #: The token that ends a text; no word is empty.
 END = b""
-#: Words a task counts before it hands counts on.
-FLUSH = 300_000
+#: Words, tokens and cells that a task counts before it hands counts on.
+FLUSH, SLICE, CELLS = 300_000, 1_000_000, 3_000_000
+#: The low bits of a key hold a cell: a class after the word, or CLASSES more for one before it.
+CELL_BITS = 7
 
 
 def held_out(id_col: str = "id"):
@@ -48,6 +55,11 @@ def tokens(body: bytes) -> list[bytes]:
     return words
 
 
+def key_of(word: bytes) -> int:
+    """The number of a word in clustering; words of the same number, of which there are hardly any, share a class."""
+    return xxhash.xxh64_intdigest(word) >> CELL_BITS + 1
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """Columns word (binary) and n: how often each token occurs in the column body."""
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
@@ -64,204 +76,296 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("body").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def hot_words(counts: DataFrame, most: int = HOT) -> list[tuple[bytes, int]]:
-    """All words of at least some count, that count as low as leaves at most `most` of them; by falling count, then word."""
-    steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).count().orderBy(F.desc("step")).collect()
+def _step():
+    return F.floor(F.log2("n") * 16)
+
+
+def hot_words(counts: DataFrame, most: int = HOT) -> tuple[list[tuple[bytes, int]], int | None]:
+    """The end, then all words of at least some count, that count as low as leaves at most `most` of them, by falling count, then word; and the step of that count."""
+    steps = counts.where(F.length("word") > 0).groupBy(_step().alias("step")).count().orderBy(F.desc("step")).collect()
     total, least = 0, None
     for r in steps:
         total += r["count"]
         if total > most:
             break
         least = r["step"]
-    if least is None:
-        return []
-    rows = counts.where(F.floor(F.log2("n") * 16) >= least).toArrow()
-    return sorted(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    rows = counts.where((F.length("word") == 0) | F.lit(False if least is None else None) | (_step() >= F.lit(least if least is not None else 10**6))).toArrow()
+    found = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    ends = found.pop(END, 0)
+    return [(END, ends), *sorted(found.items(), key=lambda x: (-x[1], x[0]))], least
 
 
-class Items(dict):
-    """Number of each hot word; any other word has the negative of its ending's group, less one."""
+class Shared:
+    """A broadcast that names itself, so that a worker process builds an index of it once."""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1 - zlib.crc32(word[-3:]) % ENDINGS
+    def __init__(self, df: DataFrame, value):
+        self.broadcast, self.bid = df.sparkSession.sparkContext.broadcast(value), uuid.uuid4().hex
 
+    @property
+    def value(self):
+        return self.broadcast.value
 
-class Model:
-    """What every task needs: bounded by HOT, SINGLE, ENDINGS and CLASSES."""
 
-    def __init__(self, hot: list[tuple[bytes, int]], single: int):
-        self.words = [w for w, _ in hot]
-        self.single = min(single, len(hot))
-        self.n = np.array([n for _, n in hot], np.int64)
-        rest = Items()
-        self.item = np.array([k if k < self.single else self.single - 1 - rest[w] for k, w in enumerate(self.words)], np.int64)
-        self.items = self.single + ENDINGS
-        self.class_of_item = np.zeros(self.items, np.int64)
-        self.hot_class = np.zeros(len(self.words), np.int64)
+_INDEX: dict[str, dict[bytes, int]] = {}
 
-    def index(self) -> Items:
-        return Items(zip(self.words, range(len(self.words)), strict=True))
 
-    def to_items(self, codes: np.ndarray) -> np.ndarray:
-        out = self.single - 1 - codes
-        known = codes >= 0
-        out[known] = self.item[codes[known]]
-        return out
+def _index(shared: Shared) -> dict[bytes, int]:
+    if shared.bid not in _INDEX:
+        _INDEX.clear()
+        _INDEX[shared.bid] = {w: k for k, w in enumerate(shared.value)}
+    return _INDEX[shared.bid]
 
-    def classes(self, codes: np.ndarray) -> np.ndarray:
-        """Class of each code: a hot word's own, or that of an ending's group."""
-        out = np.empty(len(codes), np.int64)
-        known = codes >= 0
-        out[known] = self.hot_class[codes[known]]
-        out[~known] = self.class_of_item[self.single - 1 - codes[~known]]
-        return out
 
+ENCODED = pa.schema([("uid", pa.int64()), ("id", pa.int64()), ("codes", pa.binary()), ("cold", pa.binary())])
 
-_INDEX: dict[str, tuple] = {}
 
+def encode(docs: DataFrame, hot: list[bytes]) -> DataFrame:
+    """Columns uid, id, codes (int32 of each token: its place among the hot words, or -1) and cold (the other words, joined by spaces) of each row.
 
-def _index(broadcast) -> tuple[Model, Items]:
-    """The model of a broadcast with its index, once for each worker process."""
-    if broadcast.bid not in _INDEX:
-        _INDEX.clear()
-        _INDEX[broadcast.bid] = (broadcast.value, broadcast.value.index())
-    return _INDEX[broadcast.bid]
+    A uid names a row once these are written down; it says which task wrote it.
+    """
+    shared = Shared(docs, hot)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, base = _index(shared), TaskContext.get().partitionId() << 36
 
-class Shared:
-    """A broadcast that names itself, so that workers keep one index for each."""
+        def rows() -> Iterator[tuple]:
+            for at, (key, body) in enumerate(rows_of(batches)):
+                words = tokens(body)
+                codes = np.array([index.get(w, -1) for w in words], np.int32)
+                cold = np.flatnonzero(codes < 0).tolist()
+                yield base + at, key, codes.tobytes(), b" ".join([words[k] for k in cold])
 
-    def __init__(self, broadcast, bid: str):
-        self.broadcast, self.bid = broadcast, bid
+        return batches_of(rows(), ENCODED)
 
-    @property
-    def value(self):
-        return self.broadcast.value
+    return docs.select("id", "body").mapInArrow(run, "uid long, id long, codes binary, cold binary")
 
 
-def share(df: DataFrame, model: Model) -> Shared:
-    return Shared(df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex)
+def _numbers(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Codes of about `size` tokens of texts put together, each text's after an end's, and their cold words."""
+    held, cold, total = [], [], 0
+    for codes, words in rows_of(batches):
+        held.append(np.frombuffer(codes, np.int32))
+        if words:
+            cold += words.split(b" ")
+        total += len(held[-1])
+        if total >= size:
+            yield np.concatenate([np.zeros(1, np.int32), *held]), cold
+            held, cold, total = [], [], 0
+    if held:
+        yield np.concatenate([np.zeros(1, np.int32), *held]), cold
 
 
-def count_pairs(texts: DataFrame, model: Model) -> np.ndarray:
-    """How often an item follows another one, a table of items by items; a text begins after an end."""
-    shared, side = share(texts, model), model.items
-    schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+def _table(df: DataFrame, side: int, run) -> np.ndarray:
+    """The sums of the cells that `run` yields for codes, as a table of `side` by `side`."""
+    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, index = _index(shared)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(side * side, np.int64)
-        held: list[int] = []
-
-        def put() -> None:
-            items = model.to_items(np.array(held, np.int64))
-            np.add(table, np.bincount(items[:-1] * side + items[1:], minlength=side * side), out=table)
-
-        start = [index[END]]
-        for (body,) in rows_of(batches):
-            if not held:
-                held += start
-            held += map(index.__getitem__, tokens(body))
-            if len(held) > 2_000_000:
-                put()
-                held.clear()
-        if held:
-            put()
+        for codes, _ in _numbers(batches):
+            table += run(codes)
         cells = np.flatnonzero(table)
         for at in range(0, len(cells), 100_000):
-            part = cells[at : at + 100_000]
-            yield pa.record_batch([pa.array((part // side).astype(np.int32)), pa.array((part % side).astype(np.int32)), pa.array(table[part])], schema=schema)
+            yield pa.record_batch([pa.array(cells[at : at + 100_000]), pa.array(table[cells[at : at + 100_000]])], schema=schema)
 
-    got = texts.select("body").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros((side, side), np.int64)
-    table[got.column("a").to_numpy(), got.column("b").to_numpy()] = got.column("n").to_numpy()
-    return table
+    got = df.select("codes", "cold").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(side * side, np.int64)
+    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return table.reshape(side, side)
 
 
-def count_neighbours(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """How often each class follows, and precedes, each hot word and then each ending's group of other words."""
-    shared, hot = share(texts, model), len(model.words)
-    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-    side = hot + ENDINGS
+def count_pairs(encoded: DataFrame, of: np.ndarray, side: int) -> np.ndarray:
+    """How often a group follows another one in texts, where both words are of a group: `of` has each hot word's group, or -1."""
+    of = of.astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, index = _index(shared)
-        held: list[int] = []
+    def run(codes: np.ndarray) -> np.ndarray:
+        mine = np.where(codes >= 0, of[codes], -1)
+        a, b = mine[:-1], mine[1:]
+        both = (a >= 0) & (b >= 0)
+        return np.bincount(a[both].astype(np.int64) * side + b[both], minlength=side * side)
+
+    return _table(encoded, side, run)
+
+
+def _merged(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by cell, in order."""
+    order = np.argsort(cells, kind="stable")
+    cells, n = cells[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+    return cells[first], np.add.reduceat(n, first) if len(first) else n
+
+
+PROFILES = pa.schema([("key", pa.int64()), ("cells", pa.list_(pa.int16())), ("n", pa.list_(pa.int64()))])
+
+
+def profiles(encoded: DataFrame, hot_keys: np.ndarray, hot_class: np.ndarray) -> DataFrame:
+    """Columns key, cells, n: for each word the counts of classes after and before it, of the neighbours whose class is known (not -1).
+
+    Every word of the texts has a row, one without such neighbours an empty one. Tasks add up before the one shuffle, after which a word, even
+    the most frequent one, has at most 2 * CLASSES rows of each task.
+    """
+    hot_keys, hot_class = hot_keys.astype(np.int64), hot_class.astype(np.int64)
+    schema = pa.schema([("packed", pa.int64()), ("n", pa.int64())])
+    no_cell = 2 * CLASSES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def put() -> Iterator[pa.RecordBatch]:
-            codes = np.array(held, np.int64)
-            of = model.classes(codes)
-            rows = np.where(codes >= 0, codes, hot - 1 - codes)
-            cells, n = np.unique(np.concatenate([rows[:-1] * CLASSES + of[1:], (side + rows[1:]) * CLASSES + of[:-1]]), return_counts=True)
+            cells, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             for at in range(0, len(cells), 100_000):
                 yield pa.record_batch([pa.array(cells[at : at + 100_000]), pa.array(n[at : at + 100_000])], schema=schema)
-            held.clear()
-
-        start = [index[END]]
-        for (body,) in rows_of(batches):
-            if not held:
-                held += start
-            held += map(index.__getitem__, tokens(body))
-            if len(held) > 2_000_000:
-                yield from put()
-        if held:
+            parts.clear()
+
+        for codes, cold in _numbers(batches):
+            known = codes >= 0
+            keys, of = hot_keys[codes], np.where(known, hot_class[codes], -1)
+            keys[~known] = np.fromiter(map(key_of, cold), np.int64, len(cold))
+            keys <<= CELL_BITS
+            after, before = of[1:] >= 0, of[:-1] >= 0
+            each = np.concatenate([(keys[:-1] | of[1:])[after], (keys[1:] | (CLASSES + of[:-1]))[before], np.unique(keys) | no_cell])
+            cells, n = np.unique(each, return_counts=True)
+            parts.append((cells, np.where(cells & (2**CELL_BITS - 1) == no_cell, 0, n)))
+            if len(parts) > 1 and sum(len(c) for c, _ in parts) > CELLS:
+                parts[:] = [_merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+                if len(parts[0][0]) > CELLS // 2:
+                    yield from put()
+        if parts:
+            parts[:] = [_merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
             yield from put()
 
-    summed = texts.select("body").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(2 * side * CLASSES, np.int64)
-    table[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
-    return tuple(table.reshape(2, side, CLASSES))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+        def put(cells: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            keys, some = cells >> CELL_BITS, cells & (2**CELL_BITS - 1) != no_cell
+            words, first = np.unique(keys, return_index=True)
+            ends = np.concatenate([[0], np.cumsum(np.add.reduceat(some.astype(np.int32), first))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((cells & (2**CELL_BITS - 1))[some].astype(np.int16), n[some])]
+            for at in range(0, len(words), 2_000):
+                yield pa.record_batch([pa.array(words[at : at + 2_000]), *(x.slice(at, 2_000) for x in lists)], schema=PROFILES)
 
-def by_class(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Sums of the rows of each class."""
-    out = np.zeros((CLASSES, CLASSES), np.int64)
-    np.add.at(out, of, rows)
+        for batch in batches:
+            cells, n = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in ((0, cells), (1, n)))
+            if len(cells) < 50_000:
+                continue
+            cut = np.searchsorted(cells, cells[-1] >> CELL_BITS << CELL_BITS)  # the last word may go on in the next batch
+            if cut:
+                yield from put(*_merged(cells[:cut], n[:cut]))
+                cells, n = cells[cut:], n[cut:]
+            else:
+                cells, n = _merged(cells, n)
+        if len(cells):
+            yield from put(*_merged(cells, n))
+
+    found = encoded.select("codes", "cold").mapInArrow(count, "packed long, n long")
+    by_word = found.repartition(F.shiftright("packed", CELL_BITS)).sortWithinPartitions("packed")
+    return by_word.mapInArrow(gather, "key long, cells array<short>, n array<long>")
+
+
+def _logs(table: np.ndarray) -> np.ndarray:
+    """log chance of each cell in each class, from counts of CLASSES by 2 * CLASSES cells. A class without words says nothing and draws none."""
+    out = np.empty(table.shape)
+    for part in (slice(0, CLASSES), slice(CLASSES, 2 * CLASSES)):
+        half = table[:, part] + 0.01
+        out[:, part] = np.log(half / half.sum(1, keepdims=True))
+    out[table.sum(1) == 0] = -1e6
     return out
 
 
-def likelihood(table: np.ndarray) -> float:
-    """Log likelihood of class bigrams, without what no classes change."""
-    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+def _best(batch: pa.RecordBatch, logs: np.ndarray, default: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of profiles: keys, each word's best class, and its cells one by one with their words' classes and counts."""
+    lists = batch.column(1)
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    cells, n = lists.flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy()
+    sizes = np.diff(ends)
+    best = np.full(len(sizes), default, np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        gain = np.add.reduceat(n[:, None] * logs.T[cells], ends[:-1][some], axis=0)
+        best[some] = gain.argmax(1)
+    return batch.column(0).to_numpy(), best, cells, np.repeat(best, sizes), n
 
 
-def best_classes(out_of: np.ndarray, into: np.ndarray, table: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The class of each word in which its neighbours are likeliest, the other words' classes given; the one it has where none is better."""
-    after = np.log((table + 0.5) / (table.sum(1, keepdims=True) + 0.5 * CLASSES))
-    before = np.log((table + 0.5) / (table.sum(0, keepdims=True) + 0.5 * CLASSES)).T
-    gain = out_of @ after.T + into @ before.T
-    best, here = gain.argmax(1), np.arange(len(of))
-    return np.where(gain[here, best] > gain[here, of] + 1e-9, best, of)
-
-
-def sweep(train: DataFrame, model: Model) -> np.ndarray:
-    """Takes each hot word to its best class, as long as the class bigrams get likelier; the table of class bigrams of the classes kept."""
-    model.hot_class = model.class_of_item[model.item]
-    groups, hot = model.class_of_item[model.single :], len(model.words)
-    kept = None
-    for left in range(SWEEPS, -1, -1):
-        out_of, into = count_neighbours(train, model)
-        table = by_class(out_of, np.concatenate([model.hot_class, groups]))
-        now = likelihood(table)
-        if kept is not None and now <= kept[0]:
-            _, model.hot_class, table = kept
-            break
-        rose = kept is None or now - kept[0] > RISE * abs(kept[0])
-        kept = now, model.hot_class, table
-        if not left or not rose:
-            break
-        moved = best_classes(out_of[:hot], into[:hot], table, model.hot_class)
-        if (moved == model.hot_class).all():
-            break
-        model.hot_class = moved
-    return table
+def _find(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of `keys` are in the ordered `among`, and where."""
+    if not len(among):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return among[at] == keys, at
+
+
+def assign(found: DataFrame, logs: np.ndarray, default: int, fixed: tuple[np.ndarray, np.ndarray], only: np.ndarray | None = None) -> DataFrame:
+    """Columns key and cls of the words of profiles, or of those with one of the keys `only`. `fixed` has keys, in order, with classes that they keep."""
+    schema = pa.schema([("key", pa.int64()), ("cls", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, best, *_ = _best(batch, logs, default)
+            mine, at = _find(fixed[0], keys)
+            best[mine] = fixed[1][at[mine]]
+            if only is not None:
+                mine, _ = _find(only, keys)
+                keys, best = keys[mine], best[mine]
+            yield pa.record_batch([pa.array(keys), pa.array(best.astype(np.int32))], schema=schema)
+
+    return found.mapInArrow(run, "key long, cls int")
+
+
+def retable(found: DataFrame, logs: np.ndarray, default: int) -> np.ndarray:
+    """Counts of CLASSES by 2 * CLASSES cells with every word in its best class."""
+    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
+    side = 2 * CLASSES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(CLASSES * side, np.int64)
+        for batch in batches:
+            _, _, cells, of, n = _best(batch, logs, default)
+            np.add.at(table, of * side + cells, n)
+        cells = np.flatnonzero(table)
+        yield pa.record_batch([pa.array(cells.astype(np.int32)), pa.array(table[cells])], schema=schema)
+
+    got = found.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CLASSES * side, np.int64)
+    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return table.reshape(CLASSES, side)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
+def fit(table: np.ndarray) -> float:
+    """Log likelihood of the cells of all words given their classes."""
+    return float(_xlogx(table).sum() - sum(_xlogx(table[:, part].sum(1)).sum() for part in (slice(0, CLASSES), slice(CLASSES, None))))
+
+
+def settle_classes(found: DataFrame, table: np.ndarray) -> tuple[np.ndarray, int]:
+    """The tables' logs, and the class of words without known neighbours, after rounds over profiles: all words go to their best class, and the tables are worked out anew.
+
+    Neither step can lower the likelihood but for the smoothing; a round that lowers it is given up, and one that hardly raises it is the last.
+    """
+    logs, default, best = _logs(table), int(table.sum(1).argmax()), None
+    kept = logs, default
+    for _ in range(ROUNDS):
+        moved = retable(found, logs, default)
+        now = fit(moved)
+        if best is not None and now <= best:
+            break
+        kept, last = (logs, default), best is not None and now - best <= RISE_OF_ROUND * abs(best)
+        if last:
+            break
+        best, logs, default = now, _logs(moved), int(moved.sum(1).argmax())
+    return kept
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log likelihood of class bigrams, without what no classes change."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 1_000) -> np.ndarray:
     """Class of each item: each item in turn goes where the likelihood of the class bigrams is greatest, until none moves."""
     side = len(pairs)
     own = np.diag(pairs).astype(float)
@@ -307,12 +411,70 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) ->
     return of
 
 
-def transitions(pairs: np.ndarray, of: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+def begin_empty(found: DataFrame, table: np.ndarray, keys: np.ndarray) -> None:
+    """Gives each class that has no seed the profile of one of the most frequent other words to begin with."""
+    empty = np.flatnonzero(table.sum(1) == 0).tolist()
+    at = dict(zip(keys[: len(empty)].tolist(), empty, strict=False))
+    if at:
+        for r in found.where(F.col("key").isin(*at)).collect():
+            table[at[r["key"]], r["cells"]] += r["n"]
+
+
+class Clusters:
+    """Where a corpus's words are: profiles with what places every word by them, and the classes of the hot words."""
+
+    def __init__(self, found: DataFrame, logs: np.ndarray, default: int, fixed: tuple[np.ndarray, np.ndarray], hot_class: np.ndarray):
+        self.found, self.logs, self.default, self.fixed, self.hot_class = found, logs, default, fixed, hot_class
+
+    def words(self) -> DataFrame:
+        """Columns key and cls of every word of the training corpus."""
+        return assign(self.found, self.logs, self.default, self.fixed)
+
+
+def cluster(train: DataFrame, hot: list[tuple[bytes, int]], seeds: int, folder: Folder) -> Clusters:
+    """Classes of all words of the encoded training texts. In the first sweep the seeds stay where the exchange put them, since only they have classes yet."""
+    spark = train.sparkSession
+    keys = np.array([key_of(w) for w, _ in hot], np.int64)
+    ordered = np.unique(keys)
+    seeds = min(seeds, len(hot))
+    item = np.where(np.arange(len(hot)) < seeds, np.arange(len(hot)), -1)
+    pairs = count_pairs(train, item, seeds)
+    seed_class = exchange(pairs)
+    member = np.zeros((seeds, CLASSES))
+    member[np.arange(seeds), seed_class] = 1
+    table = np.concatenate([member.T @ pairs @ member, member.T @ pairs.T @ member], axis=1)
+    hot_class = np.where(item >= 0, seed_class[np.maximum(item, 0)], -1)
+    seed_keys, place = np.unique(keys[:seeds], return_index=True)
+    fixed = seed_keys, seed_class[place]
+    kept = best = None
+    for sweep in range(SWEEPS):
+        found = folder.keep(profiles(train, keys, hot_class), f"profiles-{sweep}")
+        release(spark)
+        if not sweep:
+            begin_empty(found, table, keys[seeds:])
+        logs, default = settle_classes(found, table)
+        got = assign(found, logs, default, fixed, ordered).toArrow()
+        by_key = dict(zip(got.column("key").to_pylist(), got.column("cls").to_pylist(), strict=True))
+        moved = np.array([by_key.get(k, default) for k in keys.tolist()], np.int64)
+        now = count_pairs(train, moved, CLASSES)
+        risen = likelihood(now)
+        if best is not None and risen <= best:
+            folder.drop(f"profiles-{sweep}")
+            break
+        if sweep:
+            folder.drop(f"profiles-{sweep - 1}")
+        enough = best is not None and risen - best <= RISE * abs(best)
+        kept, best, hot_class = Clusters(found, logs, default, fixed, moved), risen, moved
+        table = np.concatenate([now, now.T], axis=1)
+        fixed = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if enough:
+            break
+    return kept
+
+
+def transitions(table: np.ndarray) -> np.ndarray:
     """log10 chance of a class after another one, smoothed with the classes' frequencies by how many classes were seen to follow."""
-    member = np.zeros((len(of), classes))
-    member[np.arange(len(of)), of] = 1
-    table = member.T @ pairs @ member
-    alone = (table.sum(0) + 1) / (table.sum() + classes)
+    alone = (table.sum(0) + 1) / (table.sum() + len(table))
     follow = np.maximum(1, (table > 0).sum(1, keepdims=True))
     return np.log10((table + follow * alone) / (table.sum(1, keepdims=True) + follow))
 
@@ -325,97 +487,182 @@ class Emissions:
         self.discount = np.clip(np.where(once > 0, once / np.maximum(1, once + 2 * twice), 0.5), 0.05, 0.95)
 
     def seen(self, count: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return np.log10((count - self.discount[of]) / self.n[of])
+        return np.log10((count - self.discount[of]) / np.maximum(1, self.n[of]))
 
     def unseen(self) -> np.ndarray:
-        """log10 chance of a word never seen, by class; of a class without words it is certain."""
-        return np.where(self.n > 0, np.log10(np.maximum(1e-300, self.discount * self.distinct / np.maximum(1, self.n))), 0.0)
+        """Chance of the type that stands for words never seen, by class; in a class without words it is certain."""
+        return np.where(self.n > 0, self.discount * self.distinct / np.maximum(1, self.n), 1.0)
+
+
+def path(seq: np.ndarray, start: int, moves: np.ndarray, unseen: np.ndarray) -> tuple[float, float]:
+    """log10 chance of a text's classes, where -1 is a token never seen, which any class may have put there; and the part of it up to known tokens.
 
+    `moves` are log10 chances. Known tokens need their class's move only; from a token never seen to the next known one the
+    chance is summed over all classes in between.
+    """
+    before = np.concatenate([[start], seq[:-1]])
+    plain = (seq >= 0) & (before >= 0)
+    known = whole = float(moves[before[plain], seq[plain]].sum())
+    if plain.all():
+        return whole, known
+    chance, state = 10.0**moves, None
+    for at in np.flatnonzero(~plain).tolist():
+        here = chance[before[at]] if before[at] >= 0 else state @ chance
+        if seq[at] >= 0:
+            one = float(np.log10(here[seq[at]]))
+            known += one
+        else:
+            state = here * unseen
+            total = state.sum()
+            one = float(np.log10(total))
+            state = state / total
+        whole += one
+    return whole, known
+
+
+FILLED = pa.schema(
+    [("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("known_base", pa.float64()), ("emitted", pa.float64()), ("seq", pa.binary())]
+)
+FILLED_DDL = "id long, n_tokens long, n_known long, base double, known_base double, emitted double, seq binary"
+SCORED = pa.schema(
+    [("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("base_known", pa.float64()), ("score_known", pa.float64())]
+)
+SCORED_DDL = "id long, n_tokens long, n_known long, base_score double, score double, base_known double, score_known double"
+_PARTS = pa.schema([("uid", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("cls", pa.int32()), ("codes", pa.binary())])
+_COLD = pa.schema([("uid", pa.int64()), ("place", pa.int32()), ("word", pa.binary())])
+
+
+def fill(encoded: DataFrame, words: DataFrame, hot: list[tuple[bytes, int]], hot_class: np.ndarray, emit: Emissions, unit: float) -> DataFrame:
+    """FILLED: each text's classes (int8; -1 for words never seen), and its sums of what needs no transitions.
+
+    `words` has word, n and cls of all words that are not hot. A cold word's count bounds how often it is joined; one shuffle by
+    text brings what the join found back to its text, in order.
+    """
+    n_hot = np.array([n for _, n in hot], np.int64)
+    class_hot = np.where(n_hot > 0, hot_class, -1).astype(np.int8)
+    base_hot = np.log10((n_hot + 1) / unit)
+    emit_hot = np.where(n_hot > 0, emit.seen(np.maximum(n_hot, 1), hot_class), 0.0)
 
-def class_counts(counts: DataFrame, model: Model) -> Emissions:
-    """Token and type counts of each class over all training words."""
-    shared = share(counts, model)
-    schema = pa.schema([("item", pa.int32()), ("n", pa.int64())])
+    def cold_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for uid, codes, cold in rows_of(batches):
+                if cold:
+                    yield from ((uid, at, word) for at, word in zip(np.flatnonzero(np.frombuffer(codes, np.int32) < 0).tolist(), cold.split(b" "), strict=True))
+
+        return batches_of(rows(), _COLD, 10_000)
+
+    def put(key, codes: bytes, places: list[np.ndarray], counts: list[np.ndarray], classes: list[np.ndarray]) -> tuple:
+        codes = np.frombuffer(codes, np.int32)
+        warm = codes >= 0
+        seq = np.where(warm, class_hot[codes], -1).astype(np.int8)
+        at, n, cls = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, counts, classes))
+        seen = n > 0
+        seq[at[seen]] = cls[seen]
+        known_base = base_hot[codes[warm & (seq >= 0)]].sum() + np.log10((n[seen] + 1) / unit).sum()
+        emitted = emit_hot[codes[warm]].sum() + (emit.seen(n[seen], cls[seen]).sum() if seen.any() else 0.0)
+        known = int((seq >= 0).sum())
+        return key, len(seq), known, float(known_base + (len(seq) - known) * np.log10(1 / unit)), float(known_base), float(emitted), seq.tobytes()
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            now, lists = None, ([], [], [])
+            for batch in batches:
+                place, n, cls = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 3, 4))
+                heads = np.flatnonzero(place < 0).tolist()
+                at = 0
+                for head in [*heads, len(place)]:
+                    if head > at:
+                        for held, x in zip(lists, (place, n, cls), strict=True):
+                            held.append(x[at:head])
+                    if head < len(place):
+                        if now is not None:
+                            yield put(*now, *lists)
+                        now, lists = (batch.column(2)[head].as_py(), batch.column(5)[head].as_py()), ([], [], [])
+                    at = head + 1
+            if now is not None:
+                yield put(*now, *lists)
+
+        return batches_of(rows(), FILLED)
+
+    cold = encoded.select("uid", "codes", "cold").mapInArrow(cold_words, "uid long, place int, word binary").join(words, "word", "left")
+    none = F.lit(None)
+    heads = encoded.select("uid", F.lit(-1).alias("place"), "id", F.lit(0).cast("long").alias("n"), F.lit(0).alias("cls"), "codes")
+    looked = cold.select("uid", "place", none.cast("long").alias("id"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("cls", F.lit(0)).cast("int").alias("cls"), none.cast("binary").alias("codes"))
+    return heads.union(looked).repartition("uid").sortWithinPartitions("uid", "place").mapInArrow(assemble, FILLED_DDL)
+
+
+def count_moves(filled: DataFrame, start: int) -> np.ndarray:
+    """How often each class follows each other one in the texts, all of whose words are known; a text begins after the end's class."""
+    as_codes = filled.select(F.col("seq").alias("codes"), F.lit(b"").alias("cold"))
+    side = CLASSES
+    schema = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, index = _index(shared)
+        table = np.zeros(side * side, np.int64)
+        first = np.array([start], np.int8).tobytes()
         for batch in batches:
-            codes = np.array(list(map(index.__getitem__, batch.column(0).to_pylist())), np.int64)
-            if len(codes):
-                yield pa.record_batch([pa.array(model.classes(codes).astype(np.int32)), batch.column(1)], schema=schema)
+            joined = np.frombuffer(first + b"".join(batch.column(0).to_pylist()), np.int8).astype(np.int64)
+            table += np.bincount(joined[:-1] * side + joined[1:], minlength=side * side)
+        cells = np.flatnonzero(table)
+        yield pa.record_batch([pa.array(cells), pa.array(table[cells])], schema=schema)
+
+    got = as_codes.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(side * side, np.int64)
+    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
+    return table.reshape(side, side)
 
-    got = counts.select("word", "n").mapInArrow(run, "item int, n long").groupBy("item").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two"))
-    table = np.zeros((4, CLASSES), np.int64)
-    for r in got.collect():
-        table[:, r["item"]] = r["n"], r["v"], r["one"], r["two"]
-    return Emissions(*table)
 
+def _keyed(counts: DataFrame) -> DataFrame:
+    schema = pa.schema([("key", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(list(map(key_of, batch.column(0).to_pylist())), pa.int64()), batch.column(0), batch.column(1)], schema=schema)
 
-SCORED = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("word", pa.binary()), ("cls", pa.int32()), ("times", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rows", pa.int64())])
+    return counts.select("word", "n").mapInArrow(run, "key long, word binary, n long")
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, single: int = SINGLE) -> DataFrame:
-    """Columns id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row for each row of `df`.
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, seeds: int = SEEDS) -> DataFrame:
+    """Columns id, held_out, n_tokens, n_known, train_tokens, base_score, score, base_known, score_known, one row for each row of `df`.
 
-    base_score sums log10((c + 1) / (N + V + 1)) over a text's tokens; score is the class model's log10 chance of the text. A null text is empty and
-    consists of its end; a null id is learned from; repeated rows are learned from and scored as often as they occur; without training texts every
-    word is unseen; an empty table gives no rows; other columns are not carried.
+    base_score sums log10((c + 1) / (N + V + 1)) over a text's tokens; score is the class model's log10 chance of the text; the last two are the
+    parts of both that known tokens have. A null text is empty and consists of its end; a null id is learned from; repeated rows are learned from
+    and scored as often as they occur; without training texts every word is unseen; an empty table gives no rows; other columns are not carried.
     """
     spark = df.sparkSession
+    folder = Folder(spark, "classes")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
-    train = docs.where(~held_out())
-    counts = settle(count_words(train))
+    counts = folder.keep(count_words(docs.where(~held_out())), "counts")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     total, distinct = int(sums["n"]), int(sums["v"])
-    model = Model(hot_words(counts, hot), single)
-    pairs = count_pairs(train, model)
-    model.class_of_item = exchange(pairs)
-    moves = transitions(sweep(train, model), np.arange(CLASSES))
-    emit = class_counts(counts, model)
-    unit = float(total + distinct + 1)
-    model.moves = moves
-    model.hot_base = np.log10((model.n + 1) / unit)
-    model.hot_emit = emit.seen(model.n, model.hot_class) if len(model.n) else np.zeros(0)
-    shared = share(df, model)
+    warm, least = hot_words(counts, hot)
+    encoded = folder.keep(encode(docs, [w for w, _ in warm]), "encoded")
+    release(spark)
+    train = encoded.where(~held_out())
+    clusters = cluster(train, warm, seeds, folder)
+    placed = folder.keep(_keyed(counts).join(clusters.words(), "key", "left").select("word", "n", F.coalesce("cls", F.lit(clusters.default)).alias("cls")), "words")
+    release(spark)
+    table = np.zeros((4, CLASSES), np.int64)
+    for r in placed.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") == 2).alias("two")).collect():
+        table[:, r["cls"]] = r["n"], r["v"], r["one"], r["two"]
+    emit, unit = Emissions(*table), float(total + distinct + 1)
+    cold = placed.where(F.length("word") > 0)
+    if least is not None:
+        cold = cold.where(_step() < least)
+    filled = folder.keep(fill(encoded, cold, warm, clusters.hot_class, emit, unit), "filled")
+    for name in ("counts", "words", "encoded", *(f"profiles-{k}" for k in range(SWEEPS))):
+        folder.drop(name)
+    release(spark)
+    start = int(clusters.hot_class[0])
+    moves, unseen = transitions(count_moves(filled.where(~held_out()), start)), emit.unseen()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, index = _index(shared)
-        before = model.classes(np.array([index[END]], np.int64))
-
         def rows() -> Iterator[tuple]:
-            for key, body in rows_of(batches):
-                words = tokens(body)
-                codes = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                classes = model.classes(codes)
-                known = codes[codes >= 0]
-                path = model.moves[np.concatenate([before, classes[:-1]]), classes].sum()
-                digest = xxhash.xxh64_intdigest(body)
-                digest -= (digest >> 63) << 64
-                yield key, digest, None, None, 0, len(words), len(known), float(model.hot_base[known].sum()), float(path + model.hot_emit[known].sum()), 1
-                rest: dict[bytes, list[int]] = {}
-                for at in np.flatnonzero(codes < 0).tolist():
-                    word = words[at]
-                    if word in rest:
-                        rest[word][1] += 1
-                    else:
-                        rest[word] = [int(classes[at]), 1]
-                for word, (cls, times) in rest.items():
-                    yield key, digest, word, cls, times, 0, 0, 0.0, 0.0, 0
-
-        return batches_of(rows(), SCORED, 10_000)
-
-    parts = docs.mapInArrow(run, "id long, digest long, word binary, cls int, times long, n_tokens long, n_known long, base double, score double, rows long")
-    unseen = emit.unseen()
-    by_class = spark.createDataFrame([(k, float(max(1.0, emit.n[k])), float(emit.discount[k]), float(unseen[k])) for k in range(CLASSES)], "cls int, class_n double, discount double, unseen double")
-    # Rows that sum up a text have no word to look up; keys of their own keep them apart, and spread.
-    looked = parts.withColumn("key", F.coalesce("word", F.concat(F.lit(b"\x00 "), F.col("digest").cast("string").cast("binary")))).join(counts.select(F.col("word").alias("key"), "n"), "key", "left")
-    looked = looked.join(F.broadcast(by_class), "cls", "left")
-    n = F.coalesce("n", F.lit(0))
-    base = F.col("base") + F.when(F.col("word").isNotNull(), F.col("times") * F.log10((n + 1) / F.lit(unit))).otherwise(0.0)
-    emitted = F.when(n > 0, F.log10((n - F.col("discount")) / F.col("class_n"))).otherwise(F.col("unseen"))
-    full = F.col("score") + F.when(F.col("word").isNotNull(), F.col("times") * emitted).otherwise(0.0)
-    known = F.col("n_known") + F.when(n > 0, F.col("times")).otherwise(0)
-    done = looked.select("id", "digest", "rows", "n_tokens", known.alias("n_known"), base.alias("base"), full.alias("score")).groupBy("id", "digest").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
-    # Equal rows met in one group: each gets its share.
-    each = done.select("id", *((F.col(c) / F.col("rows")).cast("long").alias(c) for c in ("n_tokens", "n_known")), (F.col("base") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("copy"))
-    return each.select("id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+            for key, size, known, base, known_base, emitted, seq in rows_of(batches):
+                whole, part = path(np.frombuffer(seq, np.int8).astype(np.int64), start, moves, unseen)
+                yield key, size, known, base, emitted + whole, known_base, emitted + part
+
+        return batches_of(rows(), SCORED)
+
+    scored = filled.mapInArrow(run, SCORED_DDL)
+    return scored.select("id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "base_known", "score_known")

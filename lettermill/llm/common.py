@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -64,10 +66,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own one. Where neither is set, a folder of ours if all runs in one process, else an error."""
     context = spark.sparkContext
     set_dir = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not set_dir:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         set_dir = os.path.join(tempfile.gettempdir(), "lettermill-checkpoints")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(set_dir)
@@ -78,3 +82,30 @@ def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, which outlives any executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Folder:
+    """A folder of our own below the shared one, whose tables are written as Parquet, read again, and removed once they are of no more use."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table, which cuts its lineage, and reads it again."""
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str) -> None:
+        remove(self.spark, f"{self.path}/{name}")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets the context's cleaner find shuffles that nothing refers to any more, so that their files go before the next ones come."""
+    gc.collect()
+    spark._jvm.System.gc()
