@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions import columns as C
 from lettermill.functions import vocab as V
+from lettermill.operators.state import settle
 from lettermill.functions.columns import let
 
 
@@ -180,19 +181,40 @@ def lookup(new: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return new.select(key).join(found, key, "left")
 
 
+def first_of_matching(rows: DataFrame, key: str, by: tuple[str, ...] = ("email", "display_name")) -> DataFrame:
+    """Rows that would be stored if each in order of `key` were compared with those stored before it: none of them shares a value of `by`; nulls match nothing.
+
+    A row that is the first of all its values is stored, and every other row of these values is not; what is then left undecided
+    is decided in the same way. The first row that is left is always decided, and most are in the first round, so rounds are few; each
+    costs one aggregate and two joins a column, whatever the size of a group.
+    """
+    kept, left = None, settle(rows)
+    while left.limit(1).count():
+        leading = left
+        for column in by:
+            least = left.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(key).alias("_least"))
+            leading = leading.join(least, column, "left").where(F.col("_least").isNull() | (F.col("_least") == F.col(key))).select(*rows.columns)
+        leading = settle(leading)
+        kept = leading if kept is None else kept.union(leading)
+        left = left.join(leading.select(key), key, "left_anti")
+        for column in by:
+            left = left.join(leading.where(F.col(column).isNotNull()).select(column).distinct(), column, "left_anti")
+        left = settle(left.select(*rows.columns))
+    return rows.limit(0) if kept is None else kept
+
+
 def insert_rows(new: DataFrame, stored: DataFrame, key: str, id_col: str = "id") -> DataFrame:
-    """New contacts that are stored nowhere, numbered on from the greatest id in use, in order of `key`."""
+    """New contacts that are stored nowhere and match no new one that is stored before them, numbered on from the greatest id in use, in order of `key`."""
     absent = new.join(lookup(new, stored, key).where("ews_id is null").select(key), key, "left_semi")
     top = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    return numbered(absent, key, id_col).join(F.broadcast(top)).withColumn(id_col, F.col(id_col) + F.col("_top")).drop("_top")
+    return numbered(first_of_matching(absent, key), key, id_col).join(F.broadcast(top)).withColumn(id_col, F.col(id_col) + F.col("_top")).drop("_top")
 
 
 def numbered(rows: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds numbers from 1 in order, without gathering the rows in one task: each range partition counts on from those before it."""
-    spread = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(order)
-    counted = spread.withColumn("_no", F.row_number().over(inside))
-    sizes = counted.groupBy("_part").agg(F.count("*").alias("_n"))
+    """Adds numbers from 1 in order, without gathering the rows in one task: each range partition counts on from those before it. Which row is where is put down first, so that counts and rows agree."""
+    spread = settle(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()))
+    counted = spread.withColumn("_no", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
+    sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     return counted.join(F.broadcast(before.select("_part", F.coalesce("_before", F.lit(0)).alias("_before"))), "_part").withColumn(name, F.col("_no") + F.col("_before")).drop("_part", "_no", "_before")
 

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState
 
 from lettermill.operators import ingest
 from lettermill.operators.queue import ENOUGH
+from lettermill.operators.state import scratch
 
 #: Pauses of the mailbox poller.
 POLL = "30 seconds"
@@ -75,12 +73,6 @@ def act_on_queue(queue: DataFrame, act: Callable[[DataFrame, int], DataFrame], o
     return queue.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below a local one where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "lettermill-streams")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_through(stream: DataFrame, name: str) -> DataFrame:
     """All rows of an append stream over what its source has now."""
     folder = scratch(stream.sparkSession, name)

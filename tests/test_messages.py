@@ -167,6 +167,33 @@ def test_merge():
     assert R.merge([]) == []
 
 
+def test_merge_keeps_order_and_types_of_numbers():
+    base = dict.fromkeys(R.FIELDS, "")
+    company = base | {"company": "Nord", "phone": "1111111", "email": "eva.lang@nord.invalid", "phone_numbers": [{"type": "fax", "raw": "2222222"}]}
+    eva = base | {"full_name": "Eva Lang", "phone": "3333333", "email": "eva.lang@nord.invalid", "phone_numbers": [{"type": "mobile", "raw": "4444444"}, {"type": "business", "raw": "4444444"}]}
+    (one,) = R.merge([company, eva])
+    assert [(p["type"], p["raw"]) for p in one["phone_numbers"]] == [("business", "3333333"), ("business", "1111111"), ("fax", "2222222"), ("mobile", "4444444"), ("business", "4444444")]
+    assert one["phone"] == "3333333"
+    (two,) = R.merge([eva, company | {"full_name": "Eva Lang"}])
+    assert [p["raw"] for p in two["phone_numbers"]] == ["3333333", "1111111", "4444444", "4444444", "2222222"]
+    plain = base | {"full_name": "Eva Lang", "phone": "1111111"}
+    assert "phone_numbers" not in R.merge([plain, plain | {"company": "Nord"}])[0]
+
+
+@pytest.mark.parametrize("label", ["Phone", "Mobile", "Fon", "Fax"])
+def test_other_labels_begin_no_signature(label):
+    assert R.signatures(f"Viele Grüße\nEva Lang\n{label}: +49 228 123456") == []
+
+
+def test_signature_takes_no_recipients_and_no_labelled_or_titled_names():
+    (one,) = R.signatures("An: eva.lang@nord.invalid\nHallo,\n\nEva Lang\nHandy Max Muster\nTel: +49 228 123456")
+    assert (one["full_name"], one["email"]) == ("Eva Lang", "")
+    (one,) = R.signatures("Eva Lang\nGeschäftsführer: Max Muster\nTel: +49 228 123456 / +49 228 999999\neva.lang@nord.invalid\na@nord.invalid")
+    assert (one["full_name"], one["phone"], one["email"]) == ("Eva Lang", "+49 228 123456", "eva.lang@nord.invalid")
+    twice = R.signatures("Eva Lang\nTel: +49 228 123456\n\nMax Muster\nTel: +49 228 777777 oder +49 228 123456")
+    assert [c["phone"] for c in twice] == ["+49 228 123456", "+49 228 777777"]
+
+
 def test_contact_lists_have_every_customer(spark):
     from lettermill.plans import catalog
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from email.message import EmailMessage
 
 import pytest
@@ -193,6 +194,23 @@ def test_lookup_and_insert(spark):
     assert sorted((r["k"], r["id"]) for r in contacts.insert_rows(new, stored, "k").collect()) == [(3, 3), (4, 4)]
 
 
+def test_insert_sees_the_new_rows_before(spark):
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, *(f"{j}@x" for j in range(40))]), rng.choice([None, *(f"N{j}" for j in range(40))])) for k in range(120)]
+    rows += [(1000 + k, "hot@x", f"H{k}") for k in range(50)]
+    taken, want = set(), []
+    for k, email, name in rows:
+        mine = {v for v in (email, name) if v is not None}
+        if not mine & taken:
+            taken |= mine
+            want.append(k)
+    new = spark.createDataFrame(rows, "k long, email string, display_name string")
+    stored = spark.createDataFrame([], "id long, ews_id string, email string, display_name string")
+    got = sorted((r["id"], r["k"]) for r in contacts.insert_rows(new, stored, "k").collect())
+    assert got == list(enumerate(want, 1))
+    assert contacts.insert_rows(new.limit(0), stored, "k").count() == 0
+
+
 def test_pages(spark):
     rows = spark.range(250)
     sizes = [(contacts.page(rows, "id", o, 100).count(), contacts.page(rows, "id", o, 100).first()["next_offset"]) for o in (0, 100, 200)]
