@@ -366,8 +366,9 @@ def likelihood(table: np.ndarray) -> float:
 
 
 def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 1_000) -> np.ndarray:
-    """Class of each item: each item in turn goes where the likelihood of the class bigrams is greatest, until none moves."""
+    """Class of each item: each item in turn goes where the likelihood of the class bigrams is greatest, until none moves. A rise below what such sums are exact to is none."""
     side = len(pairs)
+    least = 1e-11 * float(_xlogx(pairs.sum() + 1.0)) + 1e-9
     own = np.diag(pairs).astype(float)
     weight = pairs.sum(0) + pairs.sum(1)
     order = np.argsort(-weight, kind="stable")
@@ -388,14 +389,14 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, rounds: int = 1_000) ->
             table[was, :] -= to
             table[:, was] -= back
             table[was, was] -= own[w]
-            leaving, coming = table.sum(1), table.sum(0)
+            leaving, coming = table.sum(1) + back, table.sum(0) + to  # how often each class is left and entered by other items
             row, column = table + to, table.T + back  # class c with the item in it: its row and its column
             gain = (_xlogx(row) - _xlogx(table)).sum(1) + (_xlogx(column) - _xlogx(table.T)).sum(1)
             d = np.arange(classes)
             gain += _xlogx(table[d, d] + to + back + own[w]) - _xlogx(row[d, d]) - _xlogx(column[d, d]) + _xlogx(table[d, d])
             gain -= _xlogx(leaving + pairs[w].sum()) - _xlogx(leaving) + _xlogx(coming + pairs[:, w].sum()) - _xlogx(coming)
             best = int(gain.argmax())
-            if gain[best] <= gain[was] + 1e-9:
+            if gain[best] <= gain[was] + least:
                 best = int(was)
             table[best, :] += to
             table[:, best] += back

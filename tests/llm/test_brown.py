@@ -89,6 +89,13 @@ def test_exchange_ends_where_no_move_helps():
             assert likelihood(pairs, other, 3) <= best + 1e-6
 
 
+def test_every_round_of_exchange_raises_the_likelihood():
+    rng = np.random.default_rng(2)
+    pairs = rng.poisson(np.outer(1 / np.arange(1, 61), 1 / np.arange(1, 61)) * 4000 * rng.random((60, 60)))
+    seen = [likelihood(pairs, brown.exchange(pairs, 8, rounds), 8) for rounds in range(1, 8)]
+    assert all(b >= a - 1e-6 for a, b in zip(seen, seen[1:], strict=False)) and seen[-1] > seen[0]
+
+
 def test_empty_and_untrained(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert brown.score(df).count() == 0
