@@ -11,7 +11,10 @@ over the bits that its members do not share, until it fits; since fingerprints a
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import heapq
+import itertools
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import batches_of, id_and_bytes, rows_of, settle
+from lettermill.llm.common import Folder, batches_of, id_and_bytes, rows_of, settle
 from lettermill.llm.components import Forest, components
 
 #: Seed of the shingles' hashes, bits of a fingerprint, and most fingerprints in one tree.
@@ -109,47 +112,32 @@ class BkTree:
 _FOREST = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def shard_links(members: list[tuple], radius: int, same: Callable[[tuple, tuple], bool] | None = None) -> list[tuple[int, int]]:
-    """Links that connect what is linked within a shard: each member with the smallest one it can reach.
-
-    Members are (id, fingerprint, ...). With `same`, a pair within the radius is a link only if that holds; pairs already
-    connected are not asked about again, so a large group costs about one question a member.
-    """
+def shard_links(members: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
+    """Links that connect what is linked within a shard of (id, fingerprint): each member with the smallest one it can reach."""
     if len(members) == 1:
         return []
     tree, forest = BkTree(), Forest()
-    for member in members:
-        near = tree.within(member[1] & (2**BITS - 1), radius)
-        if same is None:
-            for _, node in near:
-                forest.union(member[0], members[node][0])
-        else:
-            for _, node in sorted(near):
-                other = members[node]
-                if forest.root(member[0]) != forest.root(other[0]) and same(member, other):
-                    forest.union(member[0], other[0])
-        tree.add(member[1] & (2**BITS - 1))
+    for key, value in members:
+        for _, node in tree.within(value & (2**BITS - 1), radius):
+            forest.union(key, members[node][0])
+        tree.add(value & (2**BITS - 1))
     return [(x, r) for x in forest.up if (r := forest.root(x)) != x]
 
 
-def links_by_shard(rows: DataFrame, keys: list[str], radius: int, same: Callable[[tuple, tuple], bool] | None = None) -> DataFrame:
-    """Columns u and v: links of every shard. `rows` has the shard's `keys` (longs), id, fp and what `same` reads; one shuffle by key brings a shard together, in order, and a task holds one shard at a time."""
+def by_group(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[Iterator[tuple]]:
+    """The rest of the rows of each run of rows that agree in their first `count` columns."""
+    for _, rows in itertools.groupby(rows_of(batches), key=lambda row: row[:count]):
+        yield (row[count:] for row in rows)
+
+
+def links_by_shard(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
+    """Columns u and v: links of every shard. `rows` has the shard's `keys` (longs), id and fp; one shuffle by key brings a shard together, in order, and a task holds one shard at a time."""
     count = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[int, int]]:
-            shard, members = None, []
-            for row in rows_of(batches):
-                if row[:count] != shard:
-                    yield from shard_links(members, radius, same) if members else ()
-                    shard, members = row[:count], []
-                members.append(row[count:])
-            yield from shard_links(members, radius, same) if members else ()
-
-        return batches_of(found(), _FOREST, 5000)
+        return batches_of((link for members in by_group(batches, count) for link in shard_links(list(members), radius)), _FOREST, 5000)
 
-    rest = [c for c in rows.columns if c not in (*keys, "id", "fp")]
-    return rows.select(*keys, "id", "fp", *rest).repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "u long, v long")
+    return rows.select(*keys, "id", "fp").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "u long, v long")
 
 
 def blocks(free: int, parts: int) -> list[int]:
@@ -201,30 +189,24 @@ def near_duplicates(df: DataFrame, size: int = 3, radius: int = 2, tree: int = T
     return prints.join(named, "fp").select("id", "fp", "component")
 
 
-def sketch(body: bytes, size: int, bands: int, rows: int) -> tuple[int, list[int], np.ndarray]:
-    """Fingerprint, shard keys and sorted distinct shingle hashes (32 bits) of a text. Texts of Jaccard similarity j share a given key with chance j ** rows."""
-    values = hashes(shingles(body.lower().split(), size))
-    return majority(np.unique(values)), shard_keys(values, bands, rows), np.unique((values >> np.uint64(32)).astype(np.uint32))
-
-
 def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
     draw = np.random.Generator(np.random.PCG64(SEED))
     return draw.integers(0, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), draw.integers(0, 2**63, count, dtype=np.uint64)
 
 
-def shard_keys(values: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One key for each band: a hash of the least values under `rows` mixings of the shingle hashes."""
+def least_values(values: np.ndarray, count: int) -> np.ndarray:
+    """The least value under each of `count` mixings of the shingles' hashes. Two texts agree in one with the chance of their Jaccard similarity; without shingles all are zero."""
     if not len(values):
-        return [0] * bands
-    times, plus = _factors(bands * rows)
-    least = np.full(bands * rows, 2**64 - 1, np.uint64)
+        return np.zeros(count, np.int64)
+    times, plus = _factors(count)
+    least = np.full(count, 2**64 - 1, np.uint64)
     for at in range(0, len(values), 4096):
         part = values[at : at + 4096]
         mixed = (part[None, :] ^ plus[:, None]) * times[:, None]
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         np.minimum(least, mixed.min(1), out=least)
-    return [signed(xxhash.xxh64_intdigest(least[k * rows : (k + 1) * rows].tobytes(), k)) for k in range(bands)]
+    return least.view(np.int64)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -234,72 +216,151 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 18, bands: int = 12, rows: int = 4, tree: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id and root for each id of `df` that has a smaller one in its group: groups link texts whose sets of `size`-word shingles have a Jaccard similarity of at least `similarity`.
+#: Near-duplicate search: bands of least values, values of a band, values that cut a large shard again, and how often such a cut is made.
+BANDS, ROWS, CUTS, LEVELS = 12, 4, 8, 2
+#: Most texts of one tree, and the widest fingerprint distance of texts that are compared.
+SHARD, RADIUS = 512, 18
+#: How many nearest candidates a text names in each pass, and of how many bands: few at first, since most groups close by these; at last all.
+PASSES = ((1, 2), (1, BANDS), (8, BANDS), (None, BANDS))
+LIGHT = pa.schema(
+    [("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("fp", pa.int64()), ("least", pa.list_(pa.int64())), ("grams", pa.binary())]
+)
 
-    Fingerprints here are of the distinct shingles, as the similarity is, so that repeated lines and phrases do not move them.
-    At that similarity fingerprints differ by 10 bits or so, too many for the pigeonhole rule, so here shards come from
-    `bands` least-hash keys of the shingles: two texts at 0.8 meet in a shard with a chance of 0.998, and differ by at most
-    `radius` bits with one over 0.99. Each shard's BK-tree finds the pairs within the radius, and the shingle sets decide
-    them exactly. Equal texts are one text from the start. A shard of more than `tree` texts is dealt into several trees at
-    random; afterwards the texts outside of the shard's largest group visit its other trees, so that no pair of a shard goes unseen
-    unless its group has it already. Null ids take no part; rows with
-    the same id count as one document; texts without words are equal.
-    """
-    light_schema = pa.schema([("id", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
-    def lighten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def light_rows(source: DataFrame, size: int) -> DataFrame:
+    """LIGHT of each text: a digest of its words, fingerprint and least values of its distinct shingles, and these shingles as sorted numbers of 32 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for key, body in rows_of(batches):
                 words = body.lower().split()
-                values = hashes(shingles(words, size))
+                values = np.unique(hashes(shingles(words, size)))
                 whole = xxhash.xxh3_128_intdigest(b" ".join(words))
-                yield key, signed(whole & (2**64 - 1)), signed(whole >> 64), majority(np.unique(values)), shard_keys(values, bands, rows)
+                grams = np.unique((values >> np.uint64(32)).astype(np.uint32))
+                yield key, signed(whole & (2**64 - 1)), signed(whole >> 64), majority(values), least_values(values, BANDS * ROWS).tolist(), grams.tobytes()
 
-        return batches_of(out(), light_schema, 2000)
+        return batches_of(out(), LIGHT)
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("grams", pa.binary())])
-        return batches_of(((key, np.unique((hashes(shingles(body.lower().split(), size)) >> np.uint64(32)).astype(np.uint32)).tobytes()) for key, body in rows_of(batches)), schema)
+    return source.mapInArrow(run, "id long, d1 long, d2 long, fp long, least array<long>, grams binary")
 
-    def same(a: tuple, b: tuple) -> bool:
-        short, long = sorted((len(a[2]), len(b[2])))
-        return short >= similarity * long and jaccard(np.frombuffer(a[2], np.uint32), np.frombuffer(b[2], np.uint32)) >= similarity
 
-    source = id_and_bytes(df, id_col, text_col).where("id is not null")
-    light = settle(source.mapInArrow(lighten, "id long, digest long, digest2 long, fp long, keys array<long>"))
-    firsts = settle(light.groupBy("digest", "digest2").agg(F.min("id").alias("first")))
-    copies = light.select("id", "digest", "digest2").join(firsts, ["digest", "digest2"]).where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    texts = light.join(firsts.select(F.col("first").alias("id")).distinct(), "id", "left_semi").groupBy("id").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    placed = settle(texts.select("id", "fp", F.posexplode("keys").alias("band", "key")))
-    shared = settle(placed.groupBy("band", "key").count().where("count > 1"))
-    met = settle(placed.join(shared, ["band", "key"]).select("id", "fp", F.col("band").cast("long").alias("band"), "key", F.ceil(F.col("count") / tree).alias("tiles")).withColumn("tile", F.pmod(F.xxhash64("id", "band"), F.col("tiles"))))
+def shard_members(texts: DataFrame, folder: Folder, most: int) -> DataFrame:
+    """Columns id, fp, band, shard, tiles: each text in the shards where others are.
 
-    def links_of(members: DataFrame) -> DataFrame:
-        grams = source.join(members.select("id").distinct(), "id", "left_semi").mapInArrow(weigh, "id long, grams binary")
-        return settle(links_by_shard(members.select("band", "key", "tile", "id", "fp").join(grams, "id"), ["band", "key", "tile"], radius, same))
+    A shard has the texts that agree in a band of least values. One of more than `most` texts is cut by CUTS further values, one way for each, so that two texts
+    that agree in any of these stay together; what is still too large after LEVELS cuts is a family of texts that agree nearly everywhere and is dealt into tiles.
+    """
+    keys = F.array(*(F.xxhash64(F.lit(b), F.slice("least", ROWS * b + 1, ROWS)) for b in range(BANDS)))
+    rows = texts.select("id", "fp", F.posexplode(keys).alias("band", "shard"))
+    done = []
+    for level in range(LEVELS + 1):
+        rows = folder.keep(rows, f"rows-{level}")
+        sizes = folder.keep(rows.groupBy("shard").count().where("count > 1"), f"sizes-{level}")
+        last = level == LEVELS
+        fits = sizes if last else sizes.where(F.col("count") <= most)
+        done.append(rows.join(fits, "shard").select("id", "fp", "band", "shard", F.ceil(F.col("count") / most).alias("tiles")))
+        large = sizes.where(F.col("count") > most)
+        if last or large.limit(1).count() == 0:
+            break
+        place = ROWS * (F.col("band") + 1) + CUTS * level  # of the first value after those that the shard agrees in
+        further = F.array(*(F.xxhash64("shard", F.lit(i), F.get("least", (place + i) % (BANDS * ROWS))) for i in range(CUTS)))
+        rows = rows.join(large, "shard", "left_semi").join(texts.select("id", "least"), "id").select("id", "fp", "band", F.explode(further).alias("shard"))
+    return folder.keep(reduce(DataFrame.union, done), "members")
+
+
+def candidates(members: DataFrame, roots: DataFrame, radius: int, width: int | None) -> DataFrame:
+    """Columns u and v: of each text the `width` nearest (None: all) of the texts in its shards within the radius that are not of its group yet.
+
+    `roots` has node and root of texts in groups. Shards of one group only are left out. A task holds the tree of one tile; in a shard of
+    several tiles the texts outside of its largest group visit the other tiles, one after the other, with nothing but their fingerprints.
+    """
 
-    links = settle(copies.union(links_of(met)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int]]:
+            for rows in by_group(batches, 2):
+                tree, held = BkTree(), []
+                for visit, key, value, root in rows:
+                    value &= 2**BITS - 1
+                    near = ((d, held[node][0]) for d, node in tree.within(value, radius) if held[node][1] != root)
+                    for _, other in sorted(near) if width is None else heapq.nsmallest(width, near):
+                        yield (key, other) if key < other else (other, key)
+                    if not visit:
+                        tree.add(value)
+                        held.append((key, root))
+
+        return batches_of(found(), _FOREST, 5000)
+
+    of = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = of.groupBy("shard", "root").agg(F.count("*").alias("n"))
+    open_shards = groups.groupBy("shard").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    live = of.join(open_shards, "shard").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    mine = live.select("shard", "tile", F.lit(0).alias("visit"), "id", "fp", "root")
+    elsewhere = live.where("tiles > 1 and root <> largest").select(
+        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("visit"), "id", "fp", "root", F.col("tile").alias("home")
+    )
+    rows = mine.union(elsewhere.where("tile <> home").drop("home"))
+    return rows.repartition("shard", "tile").sortWithinPartitions("shard", "tile", "visit", "id").mapInArrow(run, "u long, v long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingles have at least the similarity; each text's shingles travel once for each of its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def alike(a: bytes, b: bytes) -> bool:
+            return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) >= similarity
+
+        return batches_of(((u, v) for v, u, a, b in rows_of(batches) if alike(a, b)), _FOREST, 5000)
+
+    one = pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u")
+    return one.join(grams.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v").select("v", "u", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns node and root for each id of `df` that has a smaller one, root, in its group: groups link texts whose sets of `size`-word shingles have a Jaccard similarity of at least `similarity`.
+
+    Fingerprints are of the distinct shingles, as the similarity is. At 0.8 they differ by 10 bits or so, too many for the pigeonhole rule, so shards come from
+    least values of the shingles: two texts at 0.8 meet in one of BANDS shards with a chance of 0.998, and differ by at most `radius` bits with one over 0.99. BK-trees
+    over a shard's fingerprints name candidates; the shingles of each candidate pair then decide. Passes name more and more
+    candidates, between texts that no link has brought together yet, until the last pass names all that are left: no candidate goes undecided unless its two
+    texts are in one group already. Equal texts are one text from the start. Null ids take no part; rows with the same id count as one document; texts
+    without words are equal; an empty table gives no rows.
+    """
+    spark = df.sparkSession
+    folder = Folder(spark, "near")
+    light = folder.keep(light_rows(id_and_bytes(df, id_col, text_col).where("id is not null"), size), "light")
+    ids = light.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()["most"]
+    firsts = folder.keep(light.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("least").alias("least")), "firsts")
+    copies = light.select("id", "d1", "d2").join(firsts.select("d1", "d2", "first"), ["d1", "d2"]).where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
+    texts, grams = firsts.select(F.col("first").alias("id"), "fp", "least"), light.select("id", "grams")
+    if ids > 1:  # of several texts of one id the one of the least digest stands for it
+        texts = folder.keep(firsts.groupBy(F.col("first").alias("id")).agg(F.min(F.struct("d1", "d2", "fp", "least")).alias("row")).select("id", "row.fp", "row.least"), "texts")
+        grams = folder.keep(light.groupBy("id").agg(F.min(F.struct("d1", "d2", "grams")).alias("row")).select("id", "row.grams"), "grams")
+    members = shard_members(texts, folder, shard)
+    links = settle(copies)
     roots = components(links)
-    many = met.where("tiles > 1")
-    if many.limit(1).count() == 0:
-        return roots
-    # What two trees of one shard may still have apart: at least one of such a pair is outside of the shard's largest group.
-    of = settle(many.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
-    sizes = of.groupBy("band", "key", "root").count()
-    largest = settle(sizes.groupBy("band", "key").agg(F.max_by("root", F.struct("count", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1"))
-    open_shards = settle(of.join(largest, ["band", "key"]))
-    visitors = open_shards.where("root <> largest").withColumn("home", F.col("tile")).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).where("tile <> home")
-    again = open_shards.select("band", "key", "tile", "id", "fp").union(visitors.select("band", "key", "tile", "id", "fp"))
-    return components(settle(roots.select("node", "root").union(links_of(again))))
+    tested = None
+    for k, (width, bands) in enumerate(PASSES):
+        found = candidates(members.where(F.col("band") < bands), roots, radius, width)
+        if tested is not None:
+            found = found.join(tested, ["u", "v"], "left_anti")
+        pairs = folder.keep(found, f"pairs-{k}")
+        if pairs.limit(1).count() == 0:
+            continue
+        links = folder.keep(links.union(similar_pairs(pairs, grams, similarity)), f"links-{k}")
+        roots = components(links)
+        tested = pairs if tested is None else tested.union(pairs)
+    roots = settle(roots)
+    folder.drop("")
+    return roots
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """`df` with one document, that of the smallest id, of each of `similar_groups`; all columns stay. Repeated rows of one id come down to one, rows with a null id stay."""
+    """`df` with one document, that of the smallest id, of each of `similar_groups`; all columns stay. Repeated rows of one id come down to the one of the least text, then of the least other values; rows with a null id stay."""
     roots = similar_groups(df, id_col=id_col, text_col=text_col, **params)
     again = settle(df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
     left = df.join(roots.select(F.col("node").alias(id_col)), id_col, "left_anti").select(*df.columns)
     if again.limit(1).count() == 0:
         return left
-    repeated = left.join(again, id_col, "left_semi").select(*df.columns).groupBy(id_col).agg(F.min_by(F.struct(*df.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("row")).select("row.*")
+    order = F.struct(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.to_json(F.struct(*df.columns)))
+    repeated = left.join(again, id_col, "left_semi").select(*df.columns).groupBy(id_col).agg(F.min_by(F.struct(*df.columns), order).alias("row")).select("row.*")
     return left.join(again, id_col, "left_anti").select(*df.columns).union(repeated)

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lettermill.llm import simhash
+from lettermill.llm.common import Folder
 from lettermill.llm.components import components
 
 
@@ -92,8 +93,8 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("tree", [512, 5])
-def test_one_of_each_against_brute_force(spark, tree):
+@pytest.mark.parametrize("shard", [512, 5])
+def test_one_of_each_against_brute_force(spark, shard):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
     docs, k = [], 0
@@ -107,6 +108,7 @@ def test_one_of_each_against_brute_force(spark, tree):
             k += 1
     rng.shuffle(docs)
     docs += [(None, "x"), (None, "x"), (docs[0][0], docs[0][1]), (90_000, None), (90_001, " ")]
+    rng.shuffle(docs)
     sets = {}
     for d, t in docs:
         if d is not None:
@@ -116,7 +118,7 @@ def test_one_of_each_against_brute_force(spark, tree):
     share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
     group = brute_groups([(a, b) for j, a in enumerate(ids) for b in ids[j + 1 :] if share(sets[a], sets[b]) >= 0.8], ids)
     df = spark.createDataFrame([(d, t, "en", 1) for d, t in docs], "doc_id long, text string, id string, root int")
-    kept = simhash.one_of_each(df, tree=tree)
+    kept = simhash.one_of_each(df, shard=shard)
     assert kept.columns == df.columns
     rows = kept.collect()
     assert sorted(r["doc_id"] for r in rows if r["doc_id"] is not None) == sorted(set(group.values()))
@@ -137,3 +139,46 @@ def test_repeats_hide_no_near_duplicate(spark):
     group = brute_groups(pairs, range(len(texts)))
     kept = simhash.one_of_each(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(group.values()))
+
+
+def test_repeated_ids_come_down_to_one_row_always_the_same(spark):
+    rows = [(1, "a b c", "en", k) for k in (3, 1, 2)] + [(1, "a b", "de", 9), (2, "x y z", None, 1), (2, "x y z", "en", 1)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string, n int").repartition(3)).collect()
+        assert sorted(tuple(r) for r in got)[0] == (1, "a b", "de", 9) and len(got) == 2
+
+
+def texts_of(spark, least):
+    rng = random.Random(1)
+    rows = [(k, simhash.signed(rng.getrandbits(64)), [simhash.signed(v) for v in values]) for k, values in enumerate(least)]
+    return spark.createDataFrame(rows, "id long, fp long, least array<long>"), rows
+
+
+def test_large_shards_are_cut_by_further_values(spark):
+    """20,000 unlike texts that share one band: no task gets more than SHARD of them."""
+    rng = random.Random(3)
+    count = simhash.BANDS * simhash.ROWS
+    least = [[7, 7, 7, 7] + [rng.randrange(60) + 100 * j if j < 12 else rng.getrandbits(60) for j in range(4, count)] for _ in range(20_000)]
+    texts, _ = texts_of(spark, least)
+    members = simhash.shard_members(texts, Folder(spark, "test"), simhash.SHARD)
+    sizes = [r["count"] for r in members.groupBy("shard").count().collect()]
+    assert max(sizes) <= simhash.SHARD and members.agg({"tiles": "max"}).first()[0] == 1
+    # Two texts stay together where they agree in any of the further values.
+    together = {(r["u"], r["v"]) for r in members.alias("a").join(members.alias("b"), "shard").where("a.id < b.id and a.id < 40 and b.id < 40").selectExpr("a.id u", "b.id v").collect()}
+    further = range(4, 4 + simhash.CUTS)
+    assert together == {(u, v) for u in range(40) for v in range(u + 1, 40) if any(least[u][j] == least[v][j] for j in further)}
+
+
+def test_families_are_dealt_into_tiles_and_no_pair_is_lost(spark):
+    texts, rows = texts_of(spark, [[5] * (simhash.BANDS * simhash.ROWS)] * 300)
+    members = simhash.shard_members(texts, Folder(spark, "test"), 40).cache()
+    assert {r["tiles"] for r in members.collect()} == {8}
+    near = {(a[0], b[0]) for k, a in enumerate(rows) for b in rows[k + 1 :] if ((a[1] ^ b[1]) & (2**64 - 1)).bit_count() <= 26}
+    none = spark.createDataFrame([], "node long, root long")
+    assert {tuple(r) for r in simhash.candidates(members, none, 26, None).collect()} == near
+    half = spark.createDataFrame([(k, 0) for k in range(1, 150)], "node long, root long")
+    apart = {(u, v) for u, v in near if v >= 150}
+    assert {tuple(r) for r in simhash.candidates(members, half, 26, None).collect()} == apart
+    few = [tuple(r) for r in simhash.candidates(members, half, 26, 1).collect()]
+    assert set(few) <= apart and (few or not apart)
