@@ -447,7 +447,13 @@ def store_status(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", filing.store_status(key % 11 > 0, key % 7 > 0, folder, name, F.col("o_orderstatus") != "P").alias("status"), filing.destination(folder, name).alias("destination"))
 
 
-@query()
+#: The pages' own mark-up: a page leaves paragraphs open, which end where the article does.
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(html, '<style>[^<]*</style>|<script>.*?</script>|<!--.*?-->', ' ', 'gs') AS t FROM pages),
+    a AS (SELECT page_id, replace(t, '</article>', repeat(' ' || chr(10) || ' ', 1 + len(regexp_extract_all(t, '<p>')) - len(regexp_extract_all(t, '</p>')))) AS t FROM s),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '<br>|</(div|footer|h1|li|nav|p|ul)>', ' ' || chr(10) || ' ', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+    c AS (SELECT page_id, replace(replace(replace(replace(regexp_replace(t, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), chr(160), ' ') AS t FROM b),
+    d AS (SELECT page_id, string_split(regexp_replace(regexp_replace(t, '[ \t\f\v]+', ' ', 'g'), ' *\n *', chr(10), 'g'), chr(10)) AS l FROM c)
+    SELECT page_id, trim(array_to_string(list_filter(list_transform(l, lambda x: trim(x)), lambda x: x = '' OR trim(x, '<>"'' ' || chr(9)) <> ''), chr(10)), ' ' || chr(10)) AS text FROM d""")
 def html_text(spark, sf_dir):
     return texts.html_text(table(spark, sf_dir, "pages"), "page_id", "html")
 
@@ -462,22 +468,35 @@ def letters(spark, sf_dir):
     return turns.select("conv_id", body.alias("body"))
 
 
-@query()
+#: The messages of these threads, newest first, as they were put together: what an engine has to find again.
+TURNS = """turns AS (SELECT conv_id, i, text, 'Telefon: +49 30 ' || (100000 + conv_id * 13 + i) || chr(10) || 'E-Mail: ann.miller@north.invalid' AS ending
+    FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i FROM conversations))"""
+SIGNED = "chr(10) || 'Best regards' || chr(10) || 'Ann Miller' || chr(10)"
+
+
+@query(f"WITH {TURNS} SELECT conv_id, CAST(i AS INT) AS part_no, CASE WHEN i = 0 THEN 'Hallo zusamen,' || chr(10) ELSE '' END || ltrim(text, ' ' || chr(10)) || {SIGNED} || ending AS part FROM turns")
 def thread_parts(spark, sf_dir):
     return texts.thread_parts(letters(spark, sf_dir), "conv_id", "body")
 
 
-@query()
+@query(f"""WITH {TURNS}, s AS (SELECT conv_id, i, ending, trim(text, ' ' || chr(10)) AS body FROM turns)
+    SELECT conv_id, CAST(2 * i AS INT) AS segment_no, 'context' AS query_type, body AS segment, body || chr(10) || {SIGNED} || ending AS source FROM s
+    UNION ALL SELECT conv_id, CAST(2 * i + 1 AS INT), 'signature', ending, body || chr(10) || {SIGNED} || ending FROM s""")
 def segments(spark, sf_dir):
     return texts.segments(letters(spark, sf_dir), "conv_id", "body")
 
 
-@query()
+@query("SELECT DISTINCT conv_id, CAST(0 AS INT) AS line_no, CAST(100 AS DOUBLE) AS score FROM conversations")
 def fuzzy_greeting(spark, sf_dir):
     return texts.greeting_lines(lines.numbered(letters(spark, sf_dir), "conv_id", "body"), "conv_id")
 
 
-@query()
+#: A thread's signatures name one person; the source is the shortest block: eight lines above a number, back to a blank line or the end of the message before.
+@query(f"""WITH {TURNS}, blocks AS (SELECT conv_id, i, ending, list_transform(string_split(CASE WHEN i = 0 THEN 'Hallo zusamen,' || chr(10) ELSE '' END || text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS l FROM turns),
+    cut AS (SELECT conv_id, i, ending, list_slice(l, greatest(len(l) - 5, 1), len(l)) AS l FROM blocks),
+    near AS (SELECT conv_id, i, ending, CASE WHEN list_contains(l, '') THEN list_slice(l, len(l) - list_position(list_reverse(l), '') + 2, len(l)) ELSE l END AS l FROM cut),
+    sources AS (SELECT conv_id, i, array_to_string(list_concat(l, ['Best regards', 'Ann Miller']), chr(10)) || chr(10) || ending AS source_text FROM near)
+    SELECT conv_id, CAST(0 AS INT) AS contact_no, 'Ann Miller' AS full_name, '+49 30 ' || (100000 + conv_id * 13) AS phone, 'ann.miller@north.invalid' AS email, arg_min(source_text, length(source_text) * 1000 + i) AS source_text FROM sources GROUP BY conv_id""")
 def signature_contacts(spark, sf_dir):
     return texts.signature_contacts(letters(spark, sf_dir), "conv_id", "body").select("conv_id", "contact_no", "contact.full_name", "contact.phone", "contact.email", "contact.source_text")
 
@@ -491,19 +510,24 @@ def contact_lists(spark, sf_dir):
     return customers.groupBy((F.col("c_custkey") % lists).alias("list_id")).agg(F.array_join(F.transform(held, lambda x: x["line"]), "\n").alias("body"))
 
 
-@query()
+LISTS = """c AS (SELECT *, c_custkey % lists AS list_id, row_number() OVER (PARTITION BY c_custkey % lists ORDER BY c_custkey) - 1 AS no, count(*) OVER (PARTITION BY c_custkey % lists) AS held
+    FROM customer, (SELECT greatest(997, CAST(ceil(count(*) / 3) AS BIGINT)) AS lists FROM customer))"""
+
+
+@query(f"WITH {LISTS} SELECT list_id, CAST(no AS INT) AS contact_no, 'Ann Miller' AS full_name, 'Org ' || c_mktsegment AS company, '+49 30 ' || (1000000 + c_custkey) AS phone, 'ann' || c_custkey || '@north.invalid' AS email, CAST(2 AS INT) AS n_phones FROM c")
 def structured_contacts(spark, sf_dir):
     found = texts.structured_contacts(contact_lists(spark, sf_dir), "list_id", "body")
     return found.select("list_id", "contact_no", "contact.full_name", "contact.company", "contact.phone", "contact.email", F.size("contact.phone_numbers").alias("n_phones"))
 
 
-@query()
+@query("SELECT conv_id, 'relevant' AS disposition, 'Ann Miller' AS full_name, '+49 30 ' || (100000 + conv_id * 13) AS phone, 'ann.miller@north.invalid' AS email FROM conversations GROUP BY conv_id")
 def normalize_contacts(spark, sf_dir):
     decided = texts.decide(letters(spark, sf_dir), "conv_id", "body")
     return decided.select("conv_id", "disposition", F.explode_outer("contacts").alias("c")).select("conv_id", "disposition", "c.full_name", "c.phone", "c.email")
 
 
-@query()
+#: In a list that an automobile firm heads, the firm's name labels its line as a mobile number's, so that the list's signature goes to its first contact and brings the numbers of all.
+@query(f"WITH {LISTS} SELECT list_id, CAST(no AS INT) AS contact_no, 'Ann Miller' AS full_name, '+49 30 ' || (1000000 + c_custkey) AS phone, 'ann' || c_custkey || '@north.invalid' AS email, CAST(CASE WHEN no = 0 AND c_mktsegment = 'AUTOMOBILE' THEN 1 + 2 * held ELSE 2 END AS INT) AS n_phones FROM c")
 def fold_dedupe(spark, sf_dir):
     found = texts.structured_contacts(contact_lists(spark, sf_dir), "list_id", "body").unionByName(texts.signature_contacts(contact_lists(spark, sf_dir), "list_id", "body").withColumn("contact_no", F.col("contact_no") + 1_000_000))
     arrays = found.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("contact_no", "contact"))).alias("a")).select("list_id", F.transform("a", lambda x: x["contact"]).alias("contacts"))
@@ -532,7 +556,7 @@ def target_file_name(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", filing.file_name(raw, F.when(k == 3, F.lit("short"))).alias("file_name"))
 
 
-@query()
+@query("SELECT conv_id AS id, 'Ann Miller' AS display_name, '+49 30' || substr(CAST(100000 + conv_id * 13 AS VARCHAR), 1, 1) || ' ' || substr(CAST(100000 + conv_id * 13 AS VARCHAR), 2) AS business_phone, 'ann.miller@north.invalid' AS email, CAST(count(*) AS INT) AS n_phones FROM conversations GROUP BY conv_id")
 def contact_payloads(spark, sf_dir):
     """From messages to payloads and stored records: the whole path of one mail."""
     rows = texts.payload_rows(texts.decide(letters(spark, sf_dir), "conv_id", "body"), "conv_id")
