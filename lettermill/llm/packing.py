@@ -87,22 +87,23 @@ def pack(sized: DataFrame, lengths: Sequence[int] = LENGTHS, pack_items: int = P
 
     Part `part` of a text holds its tokens start .. start + n - 1 and lies at `place` of the sequence named `sequence`, which is
     `length` tokens long. A text of no tokens, or of null size, gives one row of n = 0 and no sequence, so that no row is lost;
-    equal ids are packed as separate texts but share no part numbers' meaning; a null id is packed like any other; an empty
-    table gives no rows. Full parts of long texts never meet a shuffle; every pack is about `pack_items` items whatever the
+    equal ids, whole equal rows among them, are separate texts and spread over the packs like others; a null id is packed like any other; an
+    empty table gives no rows. Full parts of long texts never meet a shuffle; every pack is about `pack_items` items whatever the
     size of the table, and the number of packs grows with it.
     """
     longest = max(lengths)
-    sized = settle(sized.select(F.col(id_col).cast("long").alias("id"), F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0)).alias("size")))
+    size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
+    sized = settle(sized.select(F.col(id_col).cast("long").alias("id"), size.alias("size"), F.monotonically_increasing_id().alias("row")))  # rows are numbered once and for all
     count = sized.where("size > 0").count()
     packs = max(1, -(-count // pack_items))
     whole = F.floor(F.col("size") / longest)
     rest = F.col("size") - whole * longest
-    full = sized.where(F.col("size") >= longest).select("id", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("part")).select(
-        "id", F.col("part").cast("int").alias("part"), (F.col("part") * longest).alias("start"), F.lit(longest).alias("n"), F.concat_ws("-", F.lit("full"), F.coalesce(F.col("id").cast("string"), F.lit("null")), "part").alias("sequence"), F.lit(longest).alias("length"), F.lit(0).alias("place")
+    full = sized.where(F.col("size") >= longest).select("id", "row", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1)).alias("part")).select(
+        "id", F.col("part").cast("int").alias("part"), (F.col("part") * longest).alias("start"), F.lit(longest).alias("n"), F.concat_ws("-", F.lit("full"), "row", "part").alias("sequence"), F.lit(longest).alias("length"), F.lit(0).alias("place")
     )
     none = sized.where("size = 0").select("id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("sequence"), F.lit(0).alias("length"), F.lit(0).alias("place"))
-    items = sized.select("id", whole.cast("int").alias("part"), (whole * longest).alias("start"), rest.cast("int").alias("n")).where("n > 0")
-    items = items.select(F.pmod(F.xxhash64("id", "start", "n"), F.lit(packs)).alias("pack"), "id", "part", "start", "n")
+    items = sized.select("id", "row", whole.cast("int").alias("part"), (whole * longest).alias("start"), rest.cast("int").alias("n")).where("n > 0")
+    items = items.select(F.pmod(F.xxhash64("row"), F.lit(packs)).alias("pack"), "id", "part", "start", "n", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def placed() -> Iterator[tuple]:
@@ -111,12 +112,12 @@ def pack(sized: DataFrame, lengths: Sequence[int] = LENGTHS, pack_items: int = P
                 if row[0] != now:
                     yield from _packed(now, held, lengths)
                     now, held = row[0], []
-                held.append(row[1:])
+                held.append(row[1:-1])
             yield from _packed(now, held, lengths)
 
         return batches_of(placed(), PLACED, 5000)
 
-    packed = items.repartition("pack").sortWithinPartitions("pack", F.desc("n"), "id", "start").mapInArrow(run, PLACED_DDL)
+    packed = items.repartition("pack").sortWithinPartitions("pack", F.desc("n"), "row").mapInArrow(run, PLACED_DDL)
     return full.union(none).union(packed)
 
 

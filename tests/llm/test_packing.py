@@ -80,3 +80,14 @@ def test_rows(spark, pack_items):
 def test_words(spark):
     df = spark.createDataFrame([(" a\tb\x0bc\nd é\x85f ",), (None,), ("",)], "text string")
     assert [r[0] for r in df.select(packing.word_count("text")).collect()] == [5, 0, 0]
+
+
+def test_equal_rows_spread_over_the_packs(spark):
+    """200,000 equal rows and as many with a null id: no pack holds much more than its share."""
+    rows = spark.range(400_000).selectExpr("if(id % 2 = 0, 7, null) AS id", "100L AS size")
+    got = packing.pack(rows, pack_items=4096).selectExpr("split(sequence, '-')[0] AS pack", "sequence", "n", "length")
+    sizes = [r["count"] for r in got.groupBy("pack").count().collect()]
+    assert sum(sizes) == 400_000 and max(sizes) < 1.3 * 4096
+    assert got.groupBy("sequence").agg({"n": "sum", "length": "max"}).where("`sum(n)` > `max(length)`").count() == 0
+    whole = packing.pack(spark.createDataFrame([(1, 8192), (1, 8192), (None, 4096)], "id long, size long")).collect()
+    assert len({r["sequence"] for r in whole}) == len(whole) == 5
