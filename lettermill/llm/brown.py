@@ -21,9 +21,11 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -132,7 +134,7 @@ def encode(docs: DataFrame, hot: list[bytes]) -> DataFrame:
         def rows() -> Iterator[tuple]:
             for at, (key, body) in enumerate(rows_of(batches)):
                 words = tokens(body)
-                codes = np.array([index.get(w, -1) for w in words], np.int32)
+                codes = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
                 cold = np.flatnonzero(codes < 0).tolist()
                 yield base + at, key, codes.tobytes(), b" ".join([words[k] for k in cold])
 
@@ -195,27 +197,47 @@ def _merged(cells: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cells[first], np.add.reduceat(n, first) if len(first) else n
 
 
-PROFILES = pa.schema([("key", pa.int64()), ("cells", pa.list_(pa.int16())), ("n", pa.list_(pa.int64()))])
+PROFILES = pa.schema([("key", pa.int64()), ("profile", pa.binary())])
+#: A profile is a run of these, in order of cells.
+CELL = np.dtype([("cell", "u1"), ("n", "<i8")])
+
+
+def packed_profiles(packed: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of PROFILES from sums by packed key and cell, in order; a cell beyond the classes' marks a word and is no cell."""
+    keys, some = packed >> CELL_BITS, packed & (2**CELL_BITS - 1) < 2 * CLASSES
+    words, first = np.unique(keys, return_index=True)
+    cells = np.empty(int(some.sum()), CELL)
+    cells["cell"], cells["n"] = packed[some] & (2**CELL_BITS - 1), n[some]
+    ends = np.concatenate([[0], np.cumsum(np.add.reduceat(some.astype(np.int64), first))]).astype(np.int32) * CELL.itemsize
+    for at in range(0, len(words), 20_000):
+        part = ends[at : at + 20_001]
+        body = pa.py_buffer(cells.view(np.uint8)[part[0] : part[-1]])
+        binary = pa.BinaryArray.from_buffers(pa.binary(), len(part) - 1, [None, pa.py_buffer((part - part[0]).astype(np.int32)), body])
+        yield pa.record_batch([pa.array(words[at : at + 20_000]), binary], schema=PROFILES)
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of PROFILES: keys; and cell by cell the row, the cell and the count."""
+    bodies = batch.column(1)
+    sizes = pc.binary_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64) // CELL.itemsize
+    cells = np.frombuffer(b"".join(bodies.to_pylist()), CELL)
+    return batch.column(0).to_numpy(), np.repeat(np.arange(len(sizes)), sizes), cells["cell"].astype(np.int64), cells["n"]
 
 
 def profiles(encoded: DataFrame, hot_keys: np.ndarray, hot_class: np.ndarray) -> DataFrame:
-    """Columns key, cells, n: for each word the counts of classes after and before it, of the neighbours whose class is known (not -1).
+    """Columns key and profile: for each word the counts of classes after and before it, of the neighbours whose class is known (not -1).
 
-    Every word of the texts has a row, one without such neighbours an empty one. Tasks add up before the one shuffle, after which a word, even
-    the most frequent one, has at most 2 * CLASSES rows of each task.
+    Every word of the texts has a row, one without such neighbours an empty one. Tasks add up before the one shuffle, which brings
+    of each word, even the most frequent one, one row of a few hundred bytes from each task.
     """
     hot_keys, hot_class = hot_keys.astype(np.int64), hot_class.astype(np.int64)
-    schema = pa.schema([("packed", pa.int64()), ("n", pa.int64())])
     no_cell = 2 * CLASSES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def put() -> Iterator[pa.RecordBatch]:
-            cells, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-            for at in range(0, len(cells), 100_000):
-                yield pa.record_batch([pa.array(cells[at : at + 100_000]), pa.array(n[at : at + 100_000])], schema=schema)
-            parts.clear()
+        def merge() -> None:
+            parts[:] = [_merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
 
         for codes, cold in _numbers(batches):
             known = codes >= 0
@@ -223,44 +245,35 @@ def profiles(encoded: DataFrame, hot_keys: np.ndarray, hot_class: np.ndarray) ->
             keys[~known] = np.fromiter(map(key_of, cold), np.int64, len(cold))
             keys <<= CELL_BITS
             after, before = of[1:] >= 0, of[:-1] >= 0
-            each = np.concatenate([(keys[:-1] | of[1:])[after], (keys[1:] | (CLASSES + of[:-1]))[before], np.unique(keys) | no_cell])
-            cells, n = np.unique(each, return_counts=True)
-            parts.append((cells, np.where(cells & (2**CELL_BITS - 1) == no_cell, 0, n)))
-            if len(parts) > 1 and sum(len(c) for c, _ in parts) > CELLS:
-                parts[:] = [_merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+            each = np.concatenate([(keys[:-1] | of[1:])[after], (keys[1:] | (CLASSES + of[:-1]))[before], keys | no_cell])
+            parts.append(np.unique(each, return_counts=True))
+            if sum(len(c) for c, _ in parts) > CELLS:
+                merge()
                 if len(parts[0][0]) > CELLS // 2:
-                    yield from put()
+                    yield from packed_profiles(*parts[0])
+                    parts.clear()
         if parts:
-            parts[:] = [_merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-            yield from put()
+            merge()
+            yield from packed_profiles(*parts[0])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def put(cells: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            keys, some = cells >> CELL_BITS, cells & (2**CELL_BITS - 1) != no_cell
-            words, first = np.unique(keys, return_index=True)
-            ends = np.concatenate([[0], np.cumsum(np.add.reduceat(some.astype(np.int32), first))]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in ((cells & (2**CELL_BITS - 1))[some].astype(np.int16), n[some])]
-            for at in range(0, len(words), 2_000):
-                yield pa.record_batch([pa.array(words[at : at + 2_000]), *(x.slice(at, 2_000) for x in lists)], schema=PROFILES)
-
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for batch in batches:
-            cells, n = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in ((0, cells), (1, n)))
-            if len(cells) < 50_000:
+            keys, rows, cells, n = unpacked(batch)
+            mine = [np.concatenate([keys[rows] << CELL_BITS | cells, keys << CELL_BITS | no_cell]), np.concatenate([n, np.zeros(len(keys), np.int64)])]
+            held = [np.concatenate(x) for x in zip(held, mine, strict=True)]
+            if len(held[0]) < CELLS // 4:
                 continue
-            cut = np.searchsorted(cells, cells[-1] >> CELL_BITS << CELL_BITS)  # the last word may go on in the next batch
+            held = list(_merged(*held))
+            cut = np.searchsorted(held[0], held[0][-1] >> CELL_BITS << CELL_BITS)  # the last word may go on in the next batch
             if cut:
-                yield from put(*_merged(cells[:cut], n[:cut]))
-                cells, n = cells[cut:], n[cut:]
-            else:
-                cells, n = _merged(cells, n)
-        if len(cells):
-            yield from put(*_merged(cells, n))
+                yield from packed_profiles(held[0][:cut], held[1][:cut])
+                held = [x[cut:] for x in held]
+        if len(held[0]):
+            yield from packed_profiles(*_merged(*held))
 
-    found = encoded.select("codes", "cold").mapInArrow(count, "packed long, n long")
-    by_word = found.repartition(F.shiftright("packed", CELL_BITS)).sortWithinPartitions("packed")
-    return by_word.mapInArrow(gather, "key long, cells array<short>, n array<long>")
+    found = encoded.select("codes", "cold").mapInArrow(count, "key long, profile binary")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "key long, profile binary")
 
 
 def _logs(table: np.ndarray) -> np.ndarray:
@@ -275,17 +288,11 @@ def _logs(table: np.ndarray) -> np.ndarray:
 
 def _best(batch: pa.RecordBatch, logs: np.ndarray, default: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of profiles: keys, each word's best class, and its cells one by one with their words' classes and counts."""
-    lists = batch.column(1)
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    ends = ends - ends[0]
-    cells, n = lists.flatten().to_numpy().astype(np.int64), batch.column(2).flatten().to_numpy()
-    sizes = np.diff(ends)
-    best = np.full(len(sizes), default, np.int64)
-    some = np.flatnonzero(sizes)
-    if len(some):
-        gain = np.add.reduceat(n[:, None] * logs.T[cells], ends[:-1][some], axis=0)
-        best[some] = gain.argmax(1)
-    return batch.column(0).to_numpy(), best, cells, np.repeat(best, sizes), n
+    keys, rows, cells, n = unpacked(batch)
+    dense = np.zeros((len(keys), 2 * CLASSES))
+    dense[rows, cells] = n
+    best = np.where(np.bincount(rows, minlength=len(keys)) > 0, (dense @ logs.T).argmax(1), default)
+    return keys, best, cells, best[rows], n
 
 
 def _find(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,7 +329,7 @@ def retable(found: DataFrame, logs: np.ndarray, default: int) -> np.ndarray:
         table = np.zeros(CLASSES * side, np.int64)
         for batch in batches:
             _, _, cells, of, n = _best(batch, logs, default)
-            np.add.at(table, of * side + cells, n)
+            table += np.bincount(of * side + cells, n, CLASSES * side).astype(np.int64)
         cells = np.flatnonzero(table)
         yield pa.record_batch([pa.array(cells.astype(np.int32)), pa.array(table[cells])], schema=schema)
 
@@ -418,7 +425,8 @@ def begin_empty(found: DataFrame, table: np.ndarray, keys: np.ndarray) -> None:
     at = dict(zip(keys[: len(empty)].tolist(), empty, strict=False))
     if at:
         for r in found.where(F.col("key").isin(*at)).collect():
-            table[at[r["key"]], r["cells"]] += r["n"]
+            cells = np.frombuffer(r["profile"], CELL)
+            table[at[r["key"]], cells["cell"]] += cells["n"]
 
 
 class Clusters:

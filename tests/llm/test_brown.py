@@ -134,7 +134,8 @@ def test_every_word_is_offered_every_class(spark, most):
     assert [of[brown.key_of(w)] for w, _ in hot] == found.hot_class.tolist()
     for r in found.found.collect():
         profile = np.zeros(2 * brown.CLASSES)
-        profile[r["cells"]] = r["n"]
+        cells = np.frombuffer(r["profile"], brown.CELL)
+        profile[cells["cell"]] = cells["n"]
         gain = found.logs @ profile
         assert gain[of[r["key"]]] >= gain.max() - 1e-6 if profile.any() else of[r["key"]] == found.default
     split = [Counter(of[brown.key_of(w.encode())] for k, w in enumerate(rare) if k % 2 == kind and w.encode() in words) for kind in (0, 1)]
@@ -147,7 +148,7 @@ def test_profiles_count_what_is_beside_a_word(spark):
     hot = [brown.END, *(f"w{k}".encode() for k in range(30))]
     of = np.where(np.arange(31) % 5 == 4, -1, np.arange(31) % 7)
     docs = spark.createDataFrame([(k, b" ".join(t)) for k, t in enumerate(texts)], "id long, body binary").repartition(4)
-    got = {r["key"]: dict(zip(r["cells"], r["n"], strict=True)) for r in brown.profiles(settle(brown.encode(docs, hot)), np.array([brown.key_of(w) for w in hot]), of).collect()}
+    got = {r["key"]: dict(np.frombuffer(r["profile"], brown.CELL).tolist()) for r in brown.profiles(settle(brown.encode(docs, hot)), np.array([brown.key_of(w) for w in hot]), of).collect()}
     want = {}
     place = {w: int(c) for w, c in zip(hot, of, strict=True)}
     for t in texts:
