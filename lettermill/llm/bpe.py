@@ -26,6 +26,25 @@ REMEMBERED = 400_000
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that str.split() takes for white space but the normaliser does not.
 NOT_SPACES = "\x1c\x1d\x1e\x1f"
+#: Letters and numbers that Unicode assigned after version 16, which the tokenizers library goes by; its split pattern takes them for neither.
+NEWER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1"
+    "\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    "\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    "\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    "\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Capitals of Unicode 16 and 17, each with its small letter, which Python's tables may not have yet.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+NEW_CAPITALS |= {0x10D50 + k: 0x10D70 + k for k in range(22)} | {0x16EA0 + k: 0x16EBB + k for k in range(25)}
+#: A code point that is not assigned and stands for NEWER ones.
+UNASSIGNED = "\u0378"
+
+
+_NEWER = regex.compile(f"[{NEWER}]")
+_NEW_CAPITALS = regex.compile("[" + "".join(map(chr, NEW_CAPITALS)) + "]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -90,14 +109,22 @@ class BpeTokenizer:
                 heapq.heappush(queue, (found[0], prev, found[1], ids[prev], joined))
         return [i for i in ids if i >= 0]
 
+    def pieces(self, chunk: str) -> list[str]:
+        """Cuts a text by the split pattern, whose tables here may be newer than the library's."""
+        if not chunk.isascii() and _NEWER.search(chunk):
+            return [chunk[m.start() : m.end()] for m in self.piece.finditer(_NEWER.sub(UNASSIGNED, chunk))]
+        return self.piece.findall(chunk)
+
     def chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a normalised text without white space."""
-        return tuple(chain.from_iterable(map(self.merge, self.piece.findall(chunk))))
+        return tuple(chain.from_iterable(map(self.merge, self.pieces(chunk))))
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without added tokens."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower-cased letter by letter, so without a final sigma
+            if _NEW_CAPITALS.search(text):
+                text = text.translate(NEW_CAPITALS)
         text = text.lower()
         chunks = self.space.split(text) if any(c in text for c in NOT_SPACES) else text.split()
         return list(chain.from_iterable(map(self.known.__getitem__, chunks)))

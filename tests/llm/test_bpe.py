@@ -34,6 +34,21 @@ def test_any_text(both, text):
     same(both, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(categories=("Cn", "Co", "Lo", "Lu", "No")), max_size=40))
+def test_unassigned_and_private_code_points(both, text):
+    same(both, f"a{text}1")
+
+
+def test_every_code_point_beside_letters_and_digits(both):
+    """All code points but surrogates, assigned or not: each between letters and between digits."""
+    ours, theirs = both
+    for first in range(0x80, 0x110000, 32_768):
+        texts = [f"a{chr(c)}b 1{chr(c)}2" for c in range(first, min(first + 32_768, 0x110000)) if not 0xD800 <= c < 0xE000]
+        for text, e in zip(texts, theirs.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert ours.encode(text) == e.ids, ascii(text)
+
+
 def test_documents(both, spark):
     from pyspark.sql import functions as F
 
