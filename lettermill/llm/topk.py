@@ -1,8 +1,8 @@
 """Operator 5: exact top-k inner-product search by distributed histogram selection.
 
-For a block of queries every partition scores all of its vectors. The k-th best score of a query is found by refining global
-histograms: first over wide bins of scores, then over narrower bins within the one that holds the k-th place, until a bin is one
-score. A partition need only report its bins from the top down to its own k-th score, so histograms stay small. A last pass
+For a block of queries every partition scores all of its vectors and counts all scores in a histogram. The k-th best score of a
+query is found by refining global histograms: first over wide bins of scores, then over narrower bins within the one that holds the
+k-th place, until a bin is one score. A partition need only report its bins from the top down to its own k-th score. A last pass
 keeps what scores more, and of those that tie with the k-th place the smallest ids.
 """
 
@@ -69,27 +69,25 @@ def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndar
             yield own, got
 
 
-def _top(held: np.ndarray, more: np.ndarray, k: int) -> np.ndarray:
-    """The k greatest of each row of both."""
-    both = np.concatenate([held, more], axis=1)
-    return both if both.shape[1] <= k else np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-
-
-def _histograms(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, shift: int, within: np.ndarray | None, wide: int, k: int) -> DataFrame:
-    """Columns q, bin, n: counts of scores by score >> shift, from the top, of those whose score >> wide is `within` (None: all)."""
+def _histograms(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, shift: int, low: np.ndarray, span: int, k: int) -> DataFrame:
+    """Columns q, bin, n: how many scores of a query are in each bin, score >> shift, of the `span` bins from its `low` on."""
     schema = pa.schema([("q", pa.int32()), ("bin", pa.int64()), ("n", pa.int64())])
+    size = len(ids) * span
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((len(ids), 0), np.int64)
+        table = np.zeros(size, np.int64)
+        rows = (np.arange(len(ids)) * span)[:, None]
         for _, got in _scored(batches, ids, queries):
-            if within is not None:
-                got = np.where((got >> wide) == within[:, None], got, LOWEST)
-            held = _top(held, got, k)
-        q, _ = np.nonzero(held != LOWEST)
-        bins = held[held != LOWEST] >> shift
-        if len(q):
-            found, n = np.unique(np.stack([q, bins]), axis=1, return_counts=True)
-            yield pa.record_batch([pa.array(found[0].astype(np.int32)), pa.array(found[1]), pa.array(n.astype(np.int64))], schema=schema)
+            bins = (got >> shift) - low[:, None]
+            inside = (bins >= 0) & (bins < span) & (got != LOWEST)
+            table += np.bincount((rows + bins)[inside], minlength=size)
+        table = table.reshape(len(ids), span)
+        above = table[:, ::-1].cumsum(1)[:, ::-1] - table
+        q, bins = np.nonzero((table > 0) & (above < k))
+        for at in range(0, len(q), 100_000):
+            part = slice(at, at + 100_000)
+            mine, its = q[part], bins[part]
+            yield pa.record_batch([pa.array(mine.astype(np.int32)), pa.array(its + low[mine]), pa.array(table[mine, its])], schema=schema)
 
     return vectors.mapInArrow(run, "q int, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
@@ -106,16 +104,19 @@ def search_block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: in
     """Columns query_id, rank, vec_id, score for one block of queries."""
     bound = vectors.select(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, c: F.greatest(a, F.abs(c)))).alias("m")).first()["m"] or 0
     bits = max(1, min(63, int(int(bound) * (int(np.abs(queries.astype(object)).max()) if queries.size else 0) * max(1, queries.shape[1])).bit_length()))
-    shift, within, wide = max(0, bits - NARROW), None, 63
+    shift = max(0, bits - NARROW)
+    low, span = np.full(len(ids), -(1 << (bits - shift)), np.int64), 2 << (bits - shift)
     need = np.full(len(ids), k, np.int64)
     while True:
-        found = _kth_bins(_histograms(vectors, ids, queries, shift, within, wide, k), need)
+        found = _kth_bins(_histograms(vectors, ids, queries, shift, low, span, k), need)
         at = np.full(len(ids), LOWEST, np.int64)
         at[found["q"].to_numpy()] = found["bin"].to_numpy()
         need[found["q"].to_numpy()] -= found["above"].to_numpy()
         if shift == 0:
             break
-        within, wide, shift = at, shift, max(0, shift - NARROW)
+        finer = max(0, shift - NARROW)
+        span = 1 << (shift - finer)
+        low, shift = np.where(at == LOWEST, 0, at) << (shift - finer), finer
     kth, ties = at, need
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("q", pa.int32()), ("over", pa.bool_())])
 
