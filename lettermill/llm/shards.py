@@ -30,6 +30,8 @@ from lettermill.llm.common import batches_of, id_and_bytes, rows_of
 
 #: Tokens of a sequence, sequences of a shard, rounds of the permutation.
 LENGTH, SHARD, ROUNDS = 1_024, 8_192, 6
+#: Most tasks that write; beyond it a task writes several shards, one after the other.
+WRITERS = 10_000
 #: Two bytes a token, least significant first.
 TOKEN = np.dtype("<u2")
 
@@ -127,7 +129,8 @@ def write_in_order(df: DataFrame, folder: str, ranks_path: str, pattern: str, ke
     shard, and offset, the byte at which the sequence begins in its shard. A null text is empty and has its end token only; a
     null id stays null; repeated rows are separate texts; an empty table writes nothing and gives no rows; other columns are not
     carried. `df` must give the same partitions each time it is read, as files do; if it does not, the second pass says so. `folder` is a URI
-    that all tasks reach. A shard is written under another name and then moved, so a task that runs twice leaves one whole file.
+    that all tasks reach. A shard is written under a hidden name and then moved to one of its own, so nothing is ever deleted or
+    written over: a task that runs twice leaves two whole files of equal bytes, and a reader takes either.
     """
     source = id_and_bytes(df, id_col, text_col)
     width = length * TOKEN.itemsize
@@ -138,14 +141,16 @@ def write_in_order(df: DataFrame, folder: str, ranks_path: str, pattern: str, ke
         tokens = sum(len(by.encode(body.decode("utf-8", "replace"))) + 1 for _, body in rows_of(batches))
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-tokens // length)], pa.int64())], names=["part", "n"])
 
-    sizes = {r["part"]: r["n"] for r in source.mapInArrow(count, "part int, n long").collect()}
-    firsts, total = {}, 0
-    for part in sorted(sizes):
-        firsts[part], total = total, total + sizes[part]
+    counted = source.mapInArrow(count, "part int, n long").toArrow()
+    sizes = np.zeros(1 + max(counted.column("part").to_pylist(), default=0), np.int64)  # eight bytes a partition, for all tasks
+    sizes[counted.column("part").to_numpy()] = counted.column("n").to_numpy()
+    total = int(sizes.sum())
+    held = df.sparkSession.sparkContext.broadcast(sizes)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, part = encoder(ranks_path, pattern), TaskContext.get().partitionId()
-        first, size = firsts.get(part, 0), sizes.get(part, 0)
+        size = int(held.value[part]) if part < len(held.value) else 0
+        first = int(held.value[:part].sum())
         slots = Feistel(total, key).slots(np.arange(first, first + size)).tolist()
 
         def rows() -> Iterator[tuple]:
@@ -178,7 +183,9 @@ def write_in_order(df: DataFrame, folder: str, ranks_path: str, pattern: str, ke
 
     shards = max(1, -(-total // per_shard))
     dealt = source.mapInArrow(deal, "shard long, slot long, number long, body binary, segments array<struct<id:long,start:long,n:int,place:int>>")
-    return dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot").mapInArrow(write, "id long, start long, n int, place int, number long, slot long, shard long, offset long")
+    writers = min(shards, WRITERS)
+    writer = F.floor(F.col("shard") * writers / shards).cast("int")  # a range of shards
+    return dealt.repartitionById(writers, writer).sortWithinPartitions("shard", "slot").mapInArrow(write, "id long, start long, n int, place int, number long, slot long, shard long, offset long")
 
 
 class ShardFile:
@@ -187,8 +194,8 @@ class ShardFile:
     def __init__(self, folder: str, shard: int):
         self.fs, base = pa.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(base, recursive=True)
-        self.name = f"{base}/{shard_name(shard)}"
-        self.draft = f"{base}/.{shard_name(shard)}.{uuid.uuid4().hex}"
+        name = f"{shard_name(shard)}-{uuid.uuid4().hex}.bin"
+        self.name, self.draft = f"{base}/{name}", f"{base}/.{name}"
         self.file = self.fs.open_output_stream(self.draft)
 
     def put(self, body: bytes) -> None:
@@ -196,23 +203,23 @@ class ShardFile:
 
     def close(self) -> None:
         self.file.close()
-        if self.fs.get_file_info(self.name).type != pa.fs.FileType.NotFound:
-            self.fs.delete_file(self.name)
         self.fs.move(self.draft, self.name)
 
 
 def shard_name(shard: int) -> str:
-    return f"shard-{shard:08d}.bin"
+    """How the names of a shard's files begin."""
+    return f"shard-{shard:08d}"
 
 
 def read_slots(folder: str, first: int, last: int, length: int = LENGTH, per_shard: int = SHARD) -> Iterator[np.ndarray]:
     """The sequences of slots first .. last - 1 in order; each read begins where the last one ended."""
     fs, base = pa.fs.FileSystem.from_uri(folder.rstrip("/"))
+    there = {info.base_name.rpartition("-")[0]: info.path for info in fs.get_file_info(pa.fs.FileSelector(base)) if not info.base_name.startswith(".")}
     width = length * TOKEN.itemsize
     while first < last:
         shard = first // per_shard
         upto = min(last, (shard + 1) * per_shard)
-        with fs.open_input_file(f"{base}/{shard_name(shard)}") as file:
+        with fs.open_input_file(there[shard_name(shard)]) as file:
             file.seek((first - shard * per_shard) * width)
             for _ in range(first, upto):
                 yield np.frombuffer(file.read(width), TOKEN)

@@ -24,7 +24,7 @@ def test_encoder(text):
     assert by.encode(text) == by.by.encode_ordinary(text)
 
 
-def test_round_trip(spark, tmp_path):
+def test_round_trip(spark, tmp_path, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4, "doc_id")
     extra = spark.createDataFrame([(-1, None), (-2, ""), (None, "a b"), (-3, "c"), (-3, "c")], "doc_id long, text string")
     all_docs = docs.select("doc_id", "text").union(extra)
@@ -54,4 +54,10 @@ def test_round_trip(spark, tmp_path):
         else:
             assert sorted(t for _, p in texts[key] for t in p) == sorted(t for x in ids for t in x)
     assert shards.write_in_order(df, folder, RANKS, P.PATTERN, "seed", length=64, per_shard=500).count() == len(rows)
+    assert [x.tolist() for x in shards.read_slots(folder, 0, total, 64, 500)] == [x.tolist() for x in read]  # a second run leaves equal files
+    assert not [x for x in (tmp_path / "out").iterdir() if x.name.startswith(".")]
+    monkeypatch.setattr(shards, "WRITERS", 2)
+    again = (tmp_path / "few").as_uri()
+    assert {tuple(r) for r in shards.write_in_order(df, again, RANKS, P.PATTERN, "seed", length=64, per_shard=500).collect()} == {tuple(r) for r in rows}
+    assert [x.tolist() for x in shards.read_slots(again, 0, total, 64, 500)] == [x.tolist() for x in read]
     assert shards.write_in_order(df.limit(0), folder + "2", RANKS, P.PATTERN, "seed").count() == 0
