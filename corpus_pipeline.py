@@ -1,18 +1,17 @@
 """The corpus pipeline: quality rules, near-duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's rows as Parquet in the shared folder and
-reads them again as the next one's documents, so that a lost executor never costs more than a stage.
+reads them again as the next one's documents, so that a lost executor never costs more than a stage. A stage's rows are removed once the
+next one's are written; the last one's stay, since the result reads them.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm import packing, pii, quality, simhash
-from lettermill.llm.common import bounded_batches, shared_dir, table
+from lettermill.llm.common import Folder, bounded_batches, release, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +48,14 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to the table documents."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    folder = Folder(spark, "pipeline")
+    before = None
+    for name, stage in STAGES:
+        docs = folder.keep(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            folder.drop(before)
+        before = name
+        release(spark)
     return docs
 
 
