@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -123,32 +124,34 @@ class Mapped:
 
     __slots__ = ("text", "starts", "ends", "new")
 
-    def __init__(self, text: str, starts: list[int], ends: list[int], new: list[bool]):
+    def __init__(self, text: str, starts: array, ends: array, new: bytearray):
         self.text, self.starts, self.ends, self.new = text, starts, ends, new
 
     @classmethod
     def of(cls, text: str) -> Mapped:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
+        return cls(text, array("i", range(len(text))), array("i", range(1, len(text) + 1)), bytearray(len(text)))
 
     def rewritten(self, edits: list[tuple[int, int, str]]) -> Mapped:
         """With each (start, end, replacement) applied; edits are in order and apart. An edit's characters stand for all of its source."""
         if not edits:
             return self
-        parts, starts, ends, new, at = [], [], [], [], 0
+        parts, starts, ends, new, at = [], array("i"), array("i"), bytearray(), 0
         for a, b, put in edits:
             parts += (self.text[at:a], put)
             starts += self.starts[at:a]
             ends += self.ends[at:a]
             new += self.new[at:a]
             if put:
-                starts += [self.starts[a]] * len(put)
-                ends += [self.ends[b - 1]] * len(put)
-                new += [True] * len(put)
+                starts.extend([self.starts[a]] * len(put))
+                ends.extend([self.ends[b - 1]] * len(put))
+                new += b"\1" * len(put)
             elif new:
-                new[-1] = True  # what was taken out counts for the character before it
+                new[-1] = 1  # what was taken out counts for the character before it
             at = b
         parts.append(self.text[at:])
-        return Mapped("".join(parts), starts + self.starts[at:], ends + self.ends[at:], new + self.new[at:])
+        starts += self.starts[at:]
+        ends += self.ends[at:]
+        return Mapped("".join(parts), starts, ends, new + self.new[at:])
 
     def source(self, a: int, b: int) -> tuple[int, int]:
         return self.starts[a], self.ends[b - 1]
@@ -168,7 +171,11 @@ _SIGNS = re.compile(
     re.IGNORECASE,
 )
 #: One of these is in every text with a disguised address.
-_MAY_HIDE = re.compile(rf"[\[({{<]\s*(?:{_alternatives((*AT_WORDS, *DOT_WORDS))}|[@.])\s*[\])}}>]|\s@|@\s|\s(?:{_alternatives((*AT_WORDS, *DOT_WORDS))})\s", re.IGNORECASE)
+_MAY_HIDE = re.compile(
+    rf"[\[({{<]\s*(?:{_alternatives((*AT_WORDS, *DOT_WORDS))}|[@.])\s*[\])}}>]|\s@|@\s"
+    rf"|\s(?:(?:{_alternatives(DOT_WORDS)})\s|(?:{_alternatives(AT_WORDS)})\s+[A-Za-z0-9-]+\.[A-Za-z0-9-])",
+    re.IGNORECASE,
+)
 _CLOSES = {"[": "]", "(": ")", "{": "}", "<": ">"}
 _HOST_CHARS = _LOCAL_CHARS - frozenset("._%+")
 _PIECE_CHARS = _LOCAL_CHARS - frozenset(".")
@@ -307,13 +314,13 @@ def _local(text: str, end: int, free: int, dots: dict[int, _Sign], barred: set[i
     return first, hidden
 
 
-def disguised_emails(mapped: Mapped) -> list[tuple[int, int]]:
-    """Source spans of addresses whose at sign or dots are disguised.
+def disguised_emails(text: str, mapped: Mapped | None = None) -> list[tuple[int, int]]:
+    """Source spans of addresses whose at sign or dots are disguised, in a text or in what `mapped` reads in it.
 
     Each address is read from its at sign outwards, to both sides as far as its characters and signs reach and no further than
     the next at sign, so that a text is read a bounded number of times whatever it holds.
     """
-    text, out, free = mapped.text, [], 0
+    text, out, free = mapped.text if mapped else text, [], 0
     signs = _signs(text)
     if not any(s.at for s in signs):
         return out
@@ -338,9 +345,9 @@ def disguised_emails(mapped: Mapped) -> list[tuple[int, int]]:
             continue
         start, dotted = _local(text, sign.start, free, before, barred)
         end = ends[len(labels) - 1]
-        if start == sign.start or sign.plain and not hidden and not dotted and not any(mapped.new[start:end]):
+        if start == sign.start or sign.plain and not hidden and not dotted and not (mapped and any(mapped.new[start:end])):
             continue  # nothing, or plain
-        out.append(mapped.source(start, end))
+        out.append(mapped.source(start, end) if mapped else (start, end))
         free = end
     return out
 
@@ -375,7 +382,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
             if any(numbers.new[a:b]):
                 found.append((*numbers.source(a, b), kind))
     if _MAY_HIDE.search(read):
-        found += [(a, b, "email") for a, b in disguised_emails(mapped or Mapped.of(text))]
+        found += [(a, b, "email") for a, b in disguised_emails(text, mapped)]
     by = {kind: sorted(s for s in base if s[2] == kind) for kind in KINDS}
     out: list[Span] = []
     ends = dict.fromkeys(KINDS, 0)
