@@ -19,10 +19,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import Folder, batches_of, id_and_bytes, rows_of, settle
+from lettermill.llm.common import Folder, batches_of, id_and_bytes, release, rows_of, settle
 from lettermill.llm.components import Forest, components
 
 #: Seed of the shingles' hashes, bits of a fingerprint, and most fingerprints in one tree.
@@ -244,14 +244,18 @@ def light_rows(source: DataFrame, size: int) -> DataFrame:
     return source.mapInArrow(run, "id long, d1 long, d2 long, fp long, least array<long>, grams binary")
 
 
-def shard_members(texts: DataFrame, folder: Folder, most: int) -> DataFrame:
-    """Columns id, fp, band, shard, tiles: each text in the shards where others are.
+def band_keys() -> Column:
+    """A key for each band of the column least."""
+    return F.array(*(F.xxhash64(F.lit(b), F.slice("least", ROWS * b + 1, ROWS)) for b in range(BANDS)))
+
+
+def shard_members(texts: DataFrame, least: DataFrame, folder: Folder, most: int) -> DataFrame:
+    """Columns id, fp, band, shard, tiles: each text (id, fp, keys) in the shards where others are. `least` has id and least values, which only texts of large shards are asked for.
 
     A shard has the texts that agree in a band of least values. One of more than `most` texts is cut by CUTS further values, one way for each, so that two texts
     that agree in any of these stay together; what is still too large after LEVELS cuts is a family of texts that agree nearly everywhere and is dealt into tiles.
     """
-    keys = F.array(*(F.xxhash64(F.lit(b), F.slice("least", ROWS * b + 1, ROWS)) for b in range(BANDS)))
-    rows = texts.select("id", "fp", F.posexplode(keys).alias("band", "shard"))
+    rows = texts.select("id", "fp", F.posexplode("keys").alias("band", "shard"))
     done = []
     for level in range(LEVELS + 1):
         rows = folder.keep(rows, f"rows-{level}")
@@ -259,19 +263,32 @@ def shard_members(texts: DataFrame, folder: Folder, most: int) -> DataFrame:
         last = level == LEVELS
         fits = sizes if last else sizes.where(F.col("count") <= most)
         done.append(rows.join(fits, "shard").select("id", "fp", "band", "shard", F.ceil(F.col("count") / most).alias("tiles")))
-        large = sizes.where(F.col("count") > most)
+        large = folder.keep(sizes.where(F.col("count") > most).select("shard"), f"large-{level}")
         if last or large.limit(1).count() == 0:
             break
         place = ROWS * (F.col("band") + 1) + CUTS * level  # of the first value after those that the shard agrees in
         further = F.array(*(F.xxhash64("shard", F.lit(i), F.get("least", (place + i) % (BANDS * ROWS))) for i in range(CUTS)))
-        rows = rows.join(large, "shard", "left_semi").join(texts.select("id", "least"), "id").select("id", "fp", "band", F.explode(further).alias("shard"))
+        inside = folder.keep(rows.join(large, "shard", "left_semi"), f"inside-{level}")
+        values = least.join(inside.select("id").distinct(), "id", "left_semi")
+        rows = inside.join(values, "id").select("id", "fp", "band", F.explode(further).alias("shard"))
     return folder.keep(reduce(DataFrame.union, done), "members")
 
 
-def candidates(members: DataFrame, roots: DataFrame, radius: int, width: int | None) -> DataFrame:
-    """Columns u and v: of each text the `width` nearest (None: all) of the texts in its shards within the radius that are not of its group yet.
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """`members` with root, the group of each text, and largest, that of most of its shard's texts; of shards of more than one group only, since a shard of one group stays so.
+
+    `roots` has node and root of texts in groups.
+    """
+    of = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    groups = of.groupBy("shard", "root").agg(F.count("*").alias("n"))
+    several = groups.groupBy("shard").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
+    return of.join(several.drop("groups"), "shard").select(*members.columns, "root", "largest")
 
-    `roots` has node and root of texts in groups. Shards of one group only are left out. A task holds the tree of one tile; in a shard of
+
+def candidates(live: DataFrame, radius: int, width: int | None) -> DataFrame:
+    """Columns u and v: of each of `open_members` the `width` nearest (None: all) of the texts in its shards within the radius that are not of its group yet.
+
+    A task holds the tree of one tile; in a shard of
     several tiles the texts outside of its largest group visit the other tiles, one after the other, with nothing but their fingerprints.
     """
 
@@ -290,10 +307,7 @@ def candidates(members: DataFrame, roots: DataFrame, radius: int, width: int | N
 
         return batches_of(found(), _FOREST, 5000)
 
-    of = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    groups = of.groupBy("shard", "root").agg(F.count("*").alias("n"))
-    open_shards = groups.groupBy("shard").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
-    live = of.join(open_shards, "shard").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    live = live.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     mine = live.select("shard", "tile", F.lit(0).alias("visit"), "id", "fp", "root")
     elsewhere = live.where("tiles > 1 and root <> largest").select(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("visit"), "id", "fp", "root", F.col("tile").alias("home")
@@ -311,8 +325,11 @@ def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> Data
 
         return batches_of(((u, v) for v, u, a, b in rows_of(batches) if alike(a, b)), _FOREST, 5000)
 
-    one = pairs.join(grams.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u")
-    return one.join(grams.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v").select("v", "u", "a", "b").mapInArrow(run, "u long, v long")
+    def needed(column: str) -> DataFrame:
+        return grams.join(pairs.select(F.col(column).alias("id")).distinct(), "id", "left_semi")
+
+    one = pairs.join(needed("u").select(F.col("id").alias("u"), F.col("grams").alias("a")), "u")
+    return one.join(needed("v").select(F.col("id").alias("v"), F.col("grams").alias("b")), "v").select("v", "u", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -329,27 +346,31 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius
     folder = Folder(spark, "near")
     light = folder.keep(light_rows(id_and_bytes(df, id_col, text_col).where("id is not null"), size), "light")
     ids = light.groupBy("id").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()["most"]
-    firsts = folder.keep(light.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("least").alias("least")), "firsts")
+    found = light.select("id", "d1", "d2", "fp", band_keys().alias("keys"))
+    firsts = folder.keep(found.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "firsts")
     copies = light.select("id", "d1", "d2").join(firsts.select("d1", "d2", "first"), ["d1", "d2"]).where("id <> first").select(F.col("id").alias("u"), F.col("first").alias("v"))
-    texts, grams = firsts.select(F.col("first").alias("id"), "fp", "least"), light.select("id", "grams")
+    texts, values, grams = firsts.select(F.col("first").alias("id"), "fp", "keys"), light.select("id", "least"), light.select("id", "grams")
     if ids > 1:  # of several texts of one id the one of the least digest stands for it
-        texts = folder.keep(firsts.groupBy(F.col("first").alias("id")).agg(F.min(F.struct("d1", "d2", "fp", "least")).alias("row")).select("id", "row.fp", "row.least"), "texts")
-        grams = folder.keep(light.groupBy("id").agg(F.min(F.struct("d1", "d2", "grams")).alias("row")).select("id", "row.grams"), "grams")
-    members = shard_members(texts, folder, shard)
-    links = settle(copies)
-    roots = components(links)
+        one = folder.keep(light.groupBy("id").agg(F.min(F.struct("d1", "d2", "fp", "least", "grams")).alias("row")).select("id", "row.*"), "one")
+        texts = folder.keep(firsts.select(F.col("first").alias("id")).distinct().join(one.select("id", "fp", band_keys().alias("keys")), "id"), "texts")
+        values, grams = one.select("id", "least"), one.select("id", "grams")
+    members = shard_members(texts, values, folder, shard)
+    release(spark)
+    roots = settle(components(settle(copies)))
     tested = None
     for k, (width, bands) in enumerate(PASSES):
-        found = candidates(members.where(F.col("band") < bands), roots, radius, width)
+        live = folder.keep(open_members(members if bands == BANDS else members.where(F.col("band") < bands), roots), f"live-{k}")
+        if bands == BANDS:
+            members = live.drop("root", "largest")
+        found = candidates(live, radius, width)
         if tested is not None:
             found = found.join(tested, ["u", "v"], "left_anti")
         pairs = folder.keep(found, f"pairs-{k}")
-        if pairs.limit(1).count() == 0:
-            continue
-        links = folder.keep(links.union(similar_pairs(pairs, grams, similarity)), f"links-{k}")
-        roots = components(links)
-        tested = pairs if tested is None else tested.union(pairs)
-    roots = settle(roots)
+        if pairs.limit(1).count():
+            links = settle(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(similar_pairs(pairs, grams, similarity)))
+            roots = settle(components(links))
+            tested = pairs if tested is None else tested.union(pairs)
+        release(spark)
     folder.drop("")
     return roots
 
