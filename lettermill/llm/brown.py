@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import Folder, batches_of, release, rows_of
+from lettermill.llm.common import OUT_ROWS, Folder, batches_of, release, rows_of
 
 #: Words that every task may hold, words clustered one by one, and classes.
 HOT, SEEDS, CLASSES = 200_000, 600, 48
@@ -553,12 +553,18 @@ def fill(encoded: DataFrame, words: DataFrame, hot: list[tuple[bytes, int]], hot
     emit_hot = np.where(n_hot > 0, emit.seen(np.maximum(n_hot, 1), hot_class), 0.0)
 
     def cold_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for uid, codes, cold in rows_of(batches):
-                if cold:
-                    yield from ((uid, at, word) for at, word in zip(np.flatnonzero(np.frombuffer(codes, np.int32) < 0).tolist(), cold.split(b" "), strict=True))
-
-        return batches_of(rows(), _COLD, 10_000)
+        for batch in batches:
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                uids, codes, colds = batch.slice(at, OUT_ROWS).columns
+                sizes, places, words = [], [], []
+                for one, cold in zip(codes.to_pylist(), colds.to_pylist(), strict=True):
+                    if cold:
+                        places.append(np.flatnonzero(np.frombuffer(one, np.int32) < 0))
+                        words += cold.split(b" ")
+                    sizes.append(len(places[-1]) if cold else 0)
+                if words:
+                    uid = np.repeat(uids.to_numpy(), sizes)
+                    yield pa.record_batch([pa.array(uid), pa.array(np.concatenate(places).astype(np.int32)), pa.array(words, pa.binary())], schema=_COLD)
 
     def put(key, codes: bytes, places: list[np.ndarray], counts: list[np.ndarray], classes: list[np.ndarray]) -> tuple:
         codes = np.frombuffer(codes, np.int32)
