@@ -1,7 +1,8 @@
 """Effects outside of Spark: exported messages, posts to services, file copies, contacts in a remote store.
 
-Effects run on the executors, a partition at a time, through clients that callers may replace. Each gives one outcome row for each input
-row, so that the flags of the queue follow from what really happened, and each is safe to repeat, since tasks may run twice.
+Effects run on the executors, a partition at a time, through clients that callers may replace. They happen when a sink is called: each gives
+one outcome row for each input row, which is written down, so that reading the outcomes, however often, acts no more, and the flags of
+the queue follow from what really happened. Only a task that fails or runs twice repeats its rows; each effect is safe to repeat.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
 
+from lettermill.operators.state import scratch
+
 #: Tries and pauses (seconds) of copies.
 RETRIES, PAUSE, TIMEOUT = 5, 5.0, 30
 
 
 def per_row(df: DataFrame, columns: list[str], start: Callable[[], Callable[..., tuple]], ddl: str) -> DataFrame:
-    """One outcome row for each row: `start` makes a partition's client and gives the function that acts."""
+    """Acts on each row now, and gives the stored outcomes, one row each: `start` makes a partition's client and gives the function that acts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         act = None
@@ -36,7 +39,9 @@ def per_row(df: DataFrame, columns: list[str], start: Callable[[], Callable[...,
                 yield pa.RecordBatch.from_arrays([pa.array(c) if any(v is not None for v in c) else pa.array(c, pa.string()) for c in map(list, zip(*rows, strict=True))], names=names)
 
     names = [part.split()[0] for part in ddl.split(", ")]
-    return df.select(*columns).mapInArrow(run, ddl)
+    spark, path = df.sparkSession, scratch(df.sparkSession, "outcomes")
+    df.select(*columns).mapInArrow(run, ddl).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def eml_name(uid: int, content_hash: str) -> str:

@@ -254,3 +254,17 @@ def test_decisions(spark):
     assert "Eva Lang" in asked and "context" in asked
     with pytest.raises(Exception, match="unknown query type"):
         df.select(texts.prompt(F.lit("other"), F.col("mail"))).collect()
+
+
+def test_effects_happen_once_however_often_outcomes_are_read(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def client(url, body, key):
+        with open(log, "a") as f:
+            f.write("x")
+        return "{}"
+
+    out = sinks.post(spark.createDataFrame([(1, "{}"), (2, "{}")], "id long, body string").coalesce(1), "id", "body", "http://x", "k", client)
+    assert out.count() == 2 and out.count() == 2 and len(out.collect()) == 2
+    with open(log) as f:
+        assert f.read() == "xx"
