@@ -220,8 +220,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 BANDS, ROWS, CUTS, LEVELS = 12, 4, 8, 2
 #: Most texts of one tree, and the widest fingerprint distance of texts that are compared.
 SHARD, RADIUS = 512, 18
-#: How many nearest candidates a text names in each pass, and of how many bands: few at first, since most groups close by these; at last all.
-PASSES = ((1, 2), (1, BANDS), (8, BANDS), (None, BANDS))
+#: How many nearest candidates a text names in each pass: one at first, since most groups close by these; at last all.
+PASSES = (1, None)
 LIGHT = pa.schema(
     [("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("fp", pa.int64()), ("least", pa.list_(pa.int64())), ("grams", pa.binary())]
 )
@@ -337,8 +337,8 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius
 
     Fingerprints are of the distinct shingles, as the similarity is. At 0.8 they differ by 10 bits or so, too many for the pigeonhole rule, so shards come from
     least values of the shingles: two texts at 0.8 meet in one of BANDS shards with a chance of 0.998, and differ by at most `radius` bits with one over 0.99. BK-trees
-    over a shard's fingerprints name candidates; the shingles of each candidate pair then decide. Passes name more and more
-    candidates, between texts that no link has brought together yet, until the last pass names all that are left: no candidate goes undecided unless its two
+    over a shard's fingerprints name candidates; the shingles of each candidate pair then decide. A first pass names the nearest
+    ones, the last one all that are left between texts that no link has brought together yet: no candidate goes undecided unless its two
     texts are in one group already. Equal texts are one text from the start. Null ids take no part; rows with the same id count as one document; texts
     without words are equal; an empty table gives no rows.
     """
@@ -358,10 +358,9 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius
     release(spark)
     roots = settle(components(settle(copies)))
     tested = None
-    for k, (width, bands) in enumerate(PASSES):
-        live = folder.keep(open_members(members if bands == BANDS else members.where(F.col("band") < bands), roots), f"live-{k}")
-        if bands == BANDS:
-            members = live.drop("root", "largest")
+    for k, width in enumerate(PASSES):
+        live = folder.keep(open_members(members, roots), f"live-{k}")
+        members = live.drop("root", "largest")
         found = candidates(live, radius, width)
         if tested is not None:
             found = found.join(tested, ["u", "v"], "left_anti")
