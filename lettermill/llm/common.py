@@ -109,3 +109,24 @@ def release(spark: SparkSession) -> None:
     """Lets the context's cleaner find shuffles that nothing refers to any more, so that their files go before the next ones come."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+#: Most bits of a sieve, and bits for each value as long as that is enough.
+SIEVE_BITS, SIEVE_SPACE = 1 << 27, 32
+_WORD = 15  # a row of a sieve has 2 ** 15 bits, as Spark's bitmaps have
+
+
+def sift(df: DataFrame, column: str, among: DataFrame) -> DataFrame:
+    """The rows of `df` whose `column` may be among that of `among`: all that are, and a few that are not, which a join then finds. It saves their shuffle.
+
+    One bit stands for each hash; all bits, 16 MB at most however many values there are, go to every task.
+    """
+    values = among.select(column).distinct()
+    bits = min(SIEVE_BITS, max(1 << _WORD, 1 << (SIEVE_SPACE * values.count()).bit_length()))
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    rows = values.select(F.shiftright(place, _WORD).alias("sieve_row"), F.pmod(place, F.lit(1 << _WORD)).alias("bit"))
+    sieve = settle(rows.repartition("sieve_row").groupBy("sieve_row").agg(F.bitmap_construct_agg("bit").alias("sieve_bits")))
+    at = F.pmod(place, F.lit(1 << _WORD))
+    byte = F.conv(F.hex(F.substring("sieve_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    kept = df.withColumn("sieve_row", F.shiftright(place, _WORD)).join(F.broadcast(sieve), "sieve_row")
+    return kept.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*df.columns)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.common import Folder, batches_of, id_and_bytes, release, rows_of, settle
+from lettermill.llm.common import Folder, batches_of, id_and_bytes, release, rows_of, settle, sift
 from lettermill.llm.components import Forest, components
 
 #: Seed of the shingles' hashes, bits of a fingerprint, and most fingerprints in one tree.
@@ -220,8 +220,6 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 BANDS, ROWS, CUTS, LEVELS = 12, 4, 8, 2
 #: Most texts of one tree, and the widest fingerprint distance of texts that are compared.
 SHARD, RADIUS = 512, 18
-#: How many nearest candidates a text names in each pass: one at first, since most groups close by these; at last all.
-PASSES = (1, None)
 LIGHT = pa.schema(
     [("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("fp", pa.int64()), ("least", pa.list_(pa.int64())), ("grams", pa.binary())]
 )
@@ -249,96 +247,112 @@ def band_keys() -> Column:
     return F.array(*(F.xxhash64(F.lit(b), F.slice("least", ROWS * b + 1, ROWS)) for b in range(BANDS)))
 
 
-def shard_members(texts: DataFrame, least: DataFrame, folder: Folder, most: int) -> DataFrame:
-    """Columns id, fp, band, shard, tiles: each text (id, fp, keys) in the shards where others are. `least` has id and least values, which only texts of large shards are asked for.
+def shared_members(texts: DataFrame, folder: Folder, most: int) -> DataFrame:
+    """Columns id, fp, band, shard, tiles: each text (id, fp, keys) in all shards where others are, which have the texts that agree in a band of least values; a tile for every `most` texts."""
+    rows = folder.keep(texts.select("id", "fp", F.posexplode("keys").alias("band", "shard")), "rows")
+    sizes = folder.keep(rows.groupBy("shard").count().where("count > 1"), "sizes")
+    shared = sift(rows, "shard", sizes).join(sizes, "shard")
+    return folder.keep(shared.select("id", "fp", "band", "shard", F.ceil(F.col("count") / most).alias("tiles")), "shared")
 
-    A shard has the texts that agree in a band of least values. One of more than `most` texts is cut by CUTS further values, one way for each, so that two texts
-    that agree in any of these stay together; what is still too large after LEVELS cuts is a family of texts that agree nearly everywhere and is dealt into tiles.
+
+def shard_members(texts: DataFrame, least: DataFrame, folder: Folder, most: int, roots: DataFrame | None = None) -> DataFrame:
+    """`shared_members`, but large shards are cut where that is less work. `least` has id and least values, which only texts of shards to be cut are asked for.
+
+    `roots` (node, root) has the groups that are known from within tiles; then only shards of several tiles and several groups are given, which are what that leaves open.
+    Texts outside of a shard's largest group visit its other tiles. Where that makes more than CUTS rows a text, the shard is cut by CUTS further values, one way for
+    each, so that two texts that agree in any of these stay together. What should be cut still after LEVELS cuts is a family of texts that agree nearly everywhere.
     """
     rows = texts.select("id", "fp", F.posexplode("keys").alias("band", "shard"))
     done = []
     for level in range(LEVELS + 1):
         rows = folder.keep(rows, f"rows-{level}")
-        sizes = folder.keep(rows.groupBy("shard").count().where("count > 1"), f"sizes-{level}")
-        last = level == LEVELS
-        fits = sizes if last else sizes.where(F.col("count") <= most)
-        done.append(rows.join(fits, "shard").select("id", "fp", "band", "shard", F.ceil(F.col("count") / most).alias("tiles")))
-        large = folder.keep(sizes.where(F.col("count") > most).select("shard"), f"large-{level}")
-        if last or large.limit(1).count() == 0:
+        if roots is None:
+            sizes = rows.groupBy("shard").count().withColumn("outside", F.col("count") - 1)
+        else:
+            groups = with_roots(rows, roots).groupBy("shard", "root").agg(F.count("*").alias("n"))
+            sizes = groups.groupBy("shard").agg(F.sum("n").alias("count"), (F.sum("n") - F.max("n")).alias("outside"))
+        sizes = sizes.where("outside > 0").withColumn("tiles", F.ceil(F.col("count") / most))
+        if roots is not None and level == 0:
+            sizes = sizes.where("tiles > 1")
+        cut = (F.col("tiles") - 1) * F.col("outside") > CUTS * F.col("count")
+        sizes = folder.keep(sizes.select("shard", "tiles", cut.alias("cut") if level < LEVELS else F.lit(False).alias("cut")), f"sizes-{level}")
+        done.append(rows.join(sizes.where("not cut").drop("cut"), "shard").select("id", "fp", "band", "shard", "tiles"))
+        large = sizes.where("cut").select("shard")
+        if large.limit(1).count() == 0:
             break
         place = ROWS * (F.col("band") + 1) + CUTS * level  # of the first value after those that the shard agrees in
         further = F.array(*(F.xxhash64("shard", F.lit(i), F.get("least", (place + i) % (BANDS * ROWS))) for i in range(CUTS)))
         inside = folder.keep(rows.join(large, "shard", "left_semi"), f"inside-{level}")
-        values = least.join(inside.select("id").distinct(), "id", "left_semi")
-        rows = inside.join(values, "id").select("id", "fp", "band", F.explode(further).alias("shard"))
+        rows = inside.join(sift(least, "id", inside), "id").select("id", "fp", "band", F.explode(further).alias("shard"))
     return folder.keep(reduce(DataFrame.union, done), "members")
 
 
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """`rows` with root, the group of each id: `roots` has node and root of texts in groups, others are their own."""
+    return rows.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
 def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     """`members` with root, the group of each text, and largest, that of most of its shard's texts; of shards of more than one group only, since a shard of one group stays so.
 
     `roots` has node and root of texts in groups.
     """
-    of = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    of = with_roots(members, roots)
     groups = of.groupBy("shard", "root").agg(F.count("*").alias("n"))
     several = groups.groupBy("shard").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("groups")).where("groups > 1")
     return of.join(several.drop("groups"), "shard").select(*members.columns, "root", "largest")
 
 
-def candidates(live: DataFrame, radius: int, width: int | None) -> DataFrame:
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of shingles have at least the similarity."""
+    return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) >= similarity
+
+
+def candidates(live: DataFrame, radius: int, width: int | None, grams: DataFrame | None = None, similarity: float = 0.0) -> DataFrame:
     """Columns u and v: of each of `open_members` the `width` nearest (None: all) of the texts in its shards within the radius that are not of its group yet.
 
-    A task holds the tree of one tile; in a shard of
-    several tiles the texts outside of its largest group visit the other tiles, one after the other, with nothing but their fingerprints.
+    With `grams` (id and shingles of each text), links instead that connect the groups of all of these pairs that have the similarity: a pair is decided where it is
+    named, so that no row is made for it, and one whose groups an earlier pair of the tile has brought together is left out.
+    A task holds the tree of one tile, and its shingles; in a shard of
+    several tiles the texts outside of its largest group visit the other tiles, one after the other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found() -> Iterator[tuple[int, int]]:
             for rows in by_group(batches, 2):
-                tree, held = BkTree(), []
-                for visit, key, value, root in rows:
+                tree, held, forest = BkTree(), [], Forest()
+                for visit, key, value, root, *own in rows:
                     value &= 2**BITS - 1
-                    near = ((d, held[node][0]) for d, node in tree.within(value, radius) if held[node][1] != root)
-                    for _, other in sorted(near) if width is None else heapq.nsmallest(width, near):
-                        yield (key, other) if key < other else (other, key)
+                    near = ((d, held[node][0], node) for d, node in tree.within(value, radius) if held[node][1] != root)
+                    for _, other, node in sorted(near) if width is None else heapq.nsmallest(width, near):
+                        if not own:
+                            yield (key, other) if key < other else (other, key)
+                        elif forest.root(root) != forest.root(held[node][1]) and similar(own[0], held[node][2], similarity):
+                            forest.union(root, held[node][1])
                     if not visit:
                         tree.add(value)
-                        held.append((key, root))
+                        held.append((key, root, *own))
+                yield from ((x, r) for x in forest.up if (r := forest.root(x)) != x)
 
         return batches_of(found(), _FOREST, 5000)
 
-    live = live.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
-    mine = live.select("shard", "tile", F.lit(0).alias("visit"), "id", "fp", "root")
-    elsewhere = live.where("tiles > 1 and root <> largest").select(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), F.lit(1).alias("visit"), "id", "fp", "root", F.col("tile").alias("home")
-    )
-    rows = mine.union(elsewhere.where("tile <> home").drop("home"))
+    home = F.pmod(F.xxhash64("id", "shard"), F.col("tiles"))
+    alone = F.array(F.struct(home.alias("tile"), F.lit(0).alias("visit")))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.struct(t.alias("tile"), (t != home).cast("int").alias("visit")))
+    rows = live.select("shard", F.explode(F.when(F.expr("tiles > 1 and root <> largest"), every).otherwise(alone)).alias("at"), "id", "fp", "root")
+    rows = rows.select("shard", "at.tile", "at.visit", "id", "fp", "root")
+    if grams is not None:
+        rows = rows.join(sift(grams, "id", live), "id").select(*rows.columns, "grams")
     return rows.repartition("shard", "tile").sortWithinPartitions("shard", "tile", "visit", "id").mapInArrow(run, "u long, v long").distinct()
 
 
-def similar_pairs(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingles have at least the similarity; each text's shingles travel once for each of its pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def alike(a: bytes, b: bytes) -> bool:
-            return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and jaccard(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) >= similarity
-
-        return batches_of(((u, v) for v, u, a, b in rows_of(batches) if alike(a, b)), _FOREST, 5000)
-
-    def needed(column: str) -> DataFrame:
-        return grams.join(pairs.select(F.col(column).alias("id")).distinct(), "id", "left_semi")
-
-    one = pairs.join(needed("u").select(F.col("id").alias("u"), F.col("grams").alias("a")), "u")
-    return one.join(needed("v").select(F.col("id").alias("v"), F.col("grams").alias("b")), "v").select("v", "u", "a", "b").mapInArrow(run, "u long, v long")
-
-
 def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns node and root for each id of `df` that has a smaller one, root, in its group: groups link texts whose sets of `size`-word shingles have a Jaccard similarity of at least `similarity`.
 
     Fingerprints are of the distinct shingles, as the similarity is. At 0.8 they differ by 10 bits or so, too many for the pigeonhole rule, so shards come from
     least values of the shingles: two texts at 0.8 meet in one of BANDS shards with a chance of 0.998, and differ by at most `radius` bits with one over 0.99. BK-trees
-    over a shard's fingerprints name candidates; the shingles of each candidate pair then decide. A first pass names the nearest
-    ones, the last one all that are left between texts that no link has brought together yet: no candidate goes undecided unless its two
+    over a shard's fingerprints name candidates; the shingles of each candidate pair then decide, in the same task. A first pass looks within tiles, which is all of
+    most shards; a second one takes the texts outside of the largest group of a larger shard to its other tiles: no candidate goes undecided unless its two
     texts are in one group already. Equal texts are one text from the start. Null ids take no part; rows with the same id count as one document; texts
     without words are equal; an empty table gives no rows.
     """
@@ -354,21 +368,18 @@ def similar_groups(df: DataFrame, size: int = 5, similarity: float = 0.8, radius
         one = folder.keep(light.groupBy("id").agg(F.min(F.struct("d1", "d2", "fp", "least", "grams")).alias("row")).select("id", "row.*"), "one")
         texts = folder.keep(firsts.select(F.col("first").alias("id")).distinct().join(one.select("id", "fp", band_keys().alias("keys")), "id"), "texts")
         values, grams = one.select("id", "least"), one.select("id", "grams")
-    members = shard_members(texts, values, folder, shard)
+    members = shared_members(texts, folder, shard)
+    folder.drop("rows")
+    release(spark)
+    found = candidates(members.withColumns({"root": F.col("id"), "largest": F.col("id")}), radius, None, grams, similarity)
+    roots = settle(components(settle(copies.union(found))))
     release(spark)
-    roots = settle(components(settle(copies)))
-    tested = None
-    for k, width in enumerate(PASSES):
-        live = folder.keep(open_members(members, roots), f"live-{k}")
-        members = live.drop("root", "largest")
-        found = candidates(live, radius, width)
-        if tested is not None:
-            found = found.join(tested, ["u", "v"], "left_anti")
-        pairs = folder.keep(found, f"pairs-{k}")
-        if pairs.limit(1).count():
-            links = settle(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(similar_pairs(pairs, grams, similarity)))
-            roots = settle(components(links))
-            tested = pairs if tested is None else tested.union(pairs)
+    large = members.where("tiles > 1").select("id")
+    if large.limit(1).count():
+        inside = sift(texts, "id", large).join(large.distinct(), "id", "left_semi")
+        live = folder.keep(open_members(shard_members(inside, values, folder, shard, roots), roots), "live")
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(candidates(live, radius, None, grams, similarity))
+        roots = settle(components(settle(links)))
         release(spark)
     folder.drop("")
     return roots

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -184,3 +185,27 @@ def test_families_are_dealt_into_tiles_and_no_pair_is_lost(spark):
     assert named(half, None) == apart
     few = named(half, 1)
     assert few <= apart and (few or not apart)
+
+
+def test_families_make_no_more_rows_than_they_have_texts_in_shards(spark):
+    """Texts that agree in all values are not spread over cuts that cannot part them."""
+    texts, values, rows = texts_of(spark, [[5] * (simhash.BANDS * simhash.ROWS)] * 300)
+    members = simhash.shard_members(texts, values, Folder(spark, "test"), 40)
+    assert members.count() == simhash.BANDS * len(rows)
+    one = spark.createDataFrame([(k, 0) for k in range(1, 300)], "node long, root long")
+    assert simhash.shard_members(texts, values, Folder(spark, "test"), 40, one).count() == 0
+
+
+def test_links_are_decided_in_tiles_and_equal_brute_force(spark):
+    """A family in tiles of 40, half of it in one group: each pair within the radius and at the similarity is linked, across tiles too."""
+    rng = random.Random(8)
+    sets = [rng.sample(range(60), 40) for _ in range(200)]
+    texts, values, rows = texts_of(spark, [[5] * (simhash.BANDS * simhash.ROWS)] * 200)
+    roots = spark.createDataFrame([(k, 0) for k in range(1, 100)], "node long, root long")
+    grams = spark.createDataFrame([(k, np.array(sorted(s), np.uint32).tobytes()) for k, s in enumerate(sets)], "id long, grams binary")
+    live = settle(simhash.open_members(simhash.shard_members(texts, values, Folder(spark, "test"), 40, roots), roots))
+    got = [tuple(r) for r in simhash.candidates(live, 30, None, grams, 0.6).collect()]
+    known = [(0, k) for k in range(1, 100)]
+    alike = [(a[0], b[0]) for k, a in enumerate(rows) for b in rows[k + 1 :] if ((a[1] ^ b[1]) & (2**64 - 1)).bit_count() <= 30 and len({*sets[a[0]]} & {*sets[b[0]]}) >= 0.6 * len({*sets[a[0]]} | {*sets[b[0]]})]
+    assert any(a < 100 <= b for a, b in alike)
+    assert brute_groups(known + got, range(200)) == brute_groups(known + alike, range(200))
