@@ -131,13 +131,17 @@ def by_group(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[Iterator
 
 
 def links_by_shard(rows: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Columns u and v: links of every shard. `rows` has the shard's `keys` (longs), id and fp; one shuffle by key brings a shard together, in order, and a task holds one shard at a time."""
+    """Columns u and v: links of every shard. `rows` has the shard's `keys` (longs), id and fp; one shuffle by key brings a shard together, in order, and a task holds one shard at a time.
+
+    The shuffle is by a hash of the keys. By the keys themselves it would fall together with that of a join by them before it, which adaptive execution reads in
+    other parts once it broadcasts the join's other side or splits a skewed part: shards would be torn, and links lost.
+    """
     count = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches_of((link for members in by_group(batches, count) for link in shard_links(list(members), radius)), _FOREST, 5000)
 
-    return rows.select(*keys, "id", "fp").repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(run, "u long, v long")
+    return rows.select(*keys, "id", "fp").repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, "id").mapInArrow(run, "u long, v long")
 
 
 def blocks(free: int, parts: int) -> list[int]:

@@ -76,6 +76,29 @@ def test_links_within_misses_none(spark, tree):
     assert {v: got.get(v, v) for v in values} == want
 
 
+def test_joins_that_turn_into_broadcasts_tear_no_shard(spark):
+    """Planned as a join of two shuffles and broadcast once the sizes are known, as with large tables."""
+    rng = random.Random(6)
+    family, apart = rng.getrandbits(64), [rng.getrandbits(64) for _ in range(200)]
+    values = {family ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(100)}
+    values |= {*apart, *(v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in apart)}
+    values = [simhash.signed(v) for v in values]
+    rng.shuffle(values)
+    pairs = [(a, b) for k, a in enumerate(values) for b in values[k + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
+    want = brute_groups(pairs, values)
+    df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(4)
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        links = [tuple(r) for r in simhash.links_within(df, 2, 40).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert brute_groups(links, values) == want
+
+
 def test_near_duplicates_against_brute_force(spark):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     docs += [(-1, None), (-2, ""), (-3, " \n"), (-1, None), (100_001, docs[5][1].upper())]
