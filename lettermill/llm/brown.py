@@ -218,12 +218,25 @@ def packed_profiles(packed: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatc
 
 def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of PROFILES: keys; and cell by cell the row, the cell and the count."""
-    bodies = batch.column(1)
+    bodies = batch.column(1).cast(pa.binary())
     sizes = pc.binary_length(bodies).to_numpy(zero_copy_only=False).astype(np.int64) // CELL.itemsize
-    cells = np.frombuffer(b"".join(bodies.to_pylist()), CELL)
+    _, offsets, body = bodies.buffers()
+    total, cells = int(sizes.sum()), np.zeros(0, CELL)
+    if total:
+        cells = np.frombuffer(body, CELL, total, int(np.frombuffer(offsets, np.int32)[bodies.offset]))
     return batch.column(0).to_numpy(), np.repeat(np.arange(len(sizes)), sizes), cells["cell"].astype(np.int64), cells["n"]
 
 
+def beside(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Packed key and cell of every known neighbour (`of` has each token's class, or -1) of tokens in order, and a mark for each token without one, so that its word has a row too."""
+    keys = keys << CELL_BITS
+    after, before = of[1:] >= 0, of[:-1] >= 0
+    alone = np.ones(len(keys), bool)
+    alone[:-1] &= ~after
+    alone[1:] &= ~before
+    return np.concatenate([(keys[:-1] | of[1:])[after], (keys[1:] | (CLASSES + of[:-1]))[before], keys[alone] | 2 * CLASSES])
+
+
 def profiles(encoded: DataFrame, hot_keys: np.ndarray, hot_class: np.ndarray) -> DataFrame:
     """Columns key and profile: for each word the counts of classes after and before it, of the neighbours whose class is known (not -1).
 
@@ -243,10 +256,7 @@ def profiles(encoded: DataFrame, hot_keys: np.ndarray, hot_class: np.ndarray) ->
             known = codes >= 0
             keys, of = hot_keys[codes], np.where(known, hot_class[codes], -1)
             keys[~known] = np.fromiter(map(key_of, cold), np.int64, len(cold))
-            keys <<= CELL_BITS
-            after, before = of[1:] >= 0, of[:-1] >= 0
-            each = np.concatenate([(keys[:-1] | of[1:])[after], (keys[1:] | (CLASSES + of[:-1]))[before], keys | no_cell])
-            parts.append(np.unique(each, return_counts=True))
+            parts.append(np.unique(beside(keys, of), return_counts=True))
             if sum(len(c) for c, _ in parts) > CELLS:
                 merge()
                 if len(parts[0][0]) > CELLS // 2:
@@ -257,20 +267,20 @@ def profiles(encoded: DataFrame, hot_keys: np.ndarray, hot_class: np.ndarray) ->
             yield from packed_profiles(*parts[0])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             keys, rows, cells, n = unpacked(batch)
-            mine = [np.concatenate([keys[rows] << CELL_BITS | cells, keys << CELL_BITS | no_cell]), np.concatenate([n, np.zeros(len(keys), np.int64)])]
-            held = [np.concatenate(x) for x in zip(held, mine, strict=True)]
-            if len(held[0]) < CELLS // 4:
+            empty = keys[np.bincount(rows, minlength=len(keys)) == 0] << CELL_BITS | no_cell
+            held += [(keys[rows] << CELL_BITS | cells, n), (empty, np.zeros(len(empty), np.int64))]
+            if sum(len(c) for c, _ in held) < CELLS // 4:
                 continue
-            held = list(_merged(*held))
-            cut = np.searchsorted(held[0], held[0][-1] >> CELL_BITS << CELL_BITS)  # the last word may go on in the next batch
+            packed, n = _merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            cut = np.searchsorted(packed, packed[-1] >> CELL_BITS << CELL_BITS)  # the last word may go on in the next batch
             if cut:
-                yield from packed_profiles(held[0][:cut], held[1][:cut])
-                held = [x[cut:] for x in held]
-        if len(held[0]):
-            yield from packed_profiles(*_merged(*held))
+                yield from packed_profiles(packed[:cut], n[:cut])
+            held = [(packed[cut:], n[cut:])]
+        if sum(len(c) for c, _ in held):
+            yield from packed_profiles(*_merged(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     found = encoded.select("codes", "cold").mapInArrow(count, "key long, profile binary")
     return found.repartition("key").sortWithinPartitions("key").mapInArrow(gather, "key long, profile binary")

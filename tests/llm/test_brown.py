@@ -142,6 +142,26 @@ def test_every_word_is_offered_every_class(spark, most):
     assert (split[0] & split[1]).total() <= 0.03 * len(rare), split
 
 
+def test_only_words_without_known_neighbours_are_marked():
+    rng = np.random.default_rng(5)
+    keys, of = rng.integers(0, 40, 400), np.where(rng.random(400) < 0.5, rng.integers(0, brown.CLASSES, 400), -1)
+    got = brown.beside(keys, of).tolist()
+    want = []
+    for k, key in enumerate(keys.tolist()):
+        cells = [c for c in of[k + 1 : k + 2].tolist() if c >= 0] + [brown.CLASSES + c for c in of[max(k, 1) - 1 : k].tolist() if c >= 0]
+        want += [key << brown.CELL_BITS | cell for cell in cells or [2 * brown.CLASSES]]
+    assert sorted(got) == sorted(want)
+
+
+def test_profiles_are_read_where_a_slice_begins():
+    packed = np.array([1 << 7 | 3, 1 << 7 | 90, 2 << 7 | 96, 5 << 7 | 0, 9 << 7 | 95])
+    (batch,) = brown.packed_profiles(packed, np.array([4, 2**40, 0, 7, 1]))
+    for at in range(4):
+        keys, rows, cells, n = brown.unpacked(batch.slice(at))
+        assert keys.tolist() == [1, 2, 5, 9][at:]
+        assert [(keys[r], c, x) for r, c, x in zip(rows, cells, n, strict=True)] == [y for y in [(1, 3, 4), (1, 90, 2**40), (5, 0, 7), (9, 95, 1)] if y[0] in keys]
+
+
 def test_profiles_count_what_is_beside_a_word(spark):
     rng = np.random.default_rng(6)
     texts = [[f"w{int(rng.zipf(1.3)) % 90}".encode() for _ in range(int(rng.integers(0, 40)))] for _ in range(60)]
